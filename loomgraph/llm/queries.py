@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import decontaminate, pieces, pii, rans, simhash, urls
+from loomgraph.llm import decontaminate, linededup, pieces, pii, rans, resample, simhash, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), bits.alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op3_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.query(_table(spark, sf_dir, "documents"))
+
+
 def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.query(_table(spark, sf_dir, "pages"))
 
@@ -46,20 +50,28 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.query(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op10_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resample.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return drawn.select(F.col("id").alias("doc_id"), F.col("weight").alias("log_weight"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii": op1_pii,
         "op2_simhash": op2_simhash,
+        "op3_linededup": op3_linededup,
         "op5_urls": op5_urls,
         "op6_rans": op6_rans,
         "op7_pieces": op7_pieces,
         "op9_decontaminate": op9_decontaminate,
+        "op10_resample": op10_resample,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_pii": pii.oracle_sql(),
+        "op3_linededup": linededup.oracle_sql(),
         "op5_urls": urls.oracle_sql(),
         "op9_decontaminate": decontaminate.oracle_sql(),
     }
