@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import decontaminate, linededup, pieces, pii, rans, resample, simhash, urls
+from loomgraph.llm import decontaminate, forest, linededup, pieces, pii, rans, resample, simhash, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op3_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.query(_table(spark, sf_dir, "documents"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.query(_table(spark, sf_dir, "pages"))
+
+
 def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.query(_table(spark, sf_dir, "pages"))
 
@@ -46,6 +50,11 @@ def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(_table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
+def op8_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return forest.nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.query(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -60,9 +69,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_pii": op1_pii,
         "op2_simhash": op2_simhash,
         "op3_linededup": op3_linededup,
+        "op4_warc": op4_warc,
         "op5_urls": op5_urls,
         "op6_rans": op6_rans,
         "op7_pieces": op7_pieces,
+        "op8_forest": op8_forest,
         "op9_decontaminate": op9_decontaminate,
         "op10_resample": op10_resample,
     }
@@ -72,6 +83,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_pii": pii.oracle_sql(),
         "op3_linededup": linededup.oracle_sql(),
+        "op4_warc": warc.oracle_sql(),
         "op5_urls": urls.oracle_sql(),
         "op9_decontaminate": decontaminate.oracle_sql(),
     }
