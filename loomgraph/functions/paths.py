@@ -130,7 +130,7 @@ def ignored(path: str, is_dir: bool, rules: list[tuple[str, str]]) -> bool:
 
 def normalize_module(path: Column) -> Column:
     for s in MODULE_SUFFIXES:
-        path = F.when(F.endswith(path, F.lit(s)), F.substring(path, F.lit(1), F.length(path) - len(s))).otherwise(path)
+        path = F.regexp_replace(path, re.escape(s) + "$", "")
     return path
 
 
