@@ -31,8 +31,8 @@ MAGIC = b"TOKRANS1"
 FILE, BLOCK, LANES, CHECKPOINT = 1 << 20, 1 << 15, 32, 256
 #: Lower bound of a coder's state; words are 32 bits.
 LOW = 1 << 31
-#: Words that the tokenizer's table keeps at most; a full table is emptied.
-WORDS = 400_000
+#: Entries of each of the tokenizer's tables at most; a full table is emptied.
+WORDS = 900_000
 
 
 def frequencies(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
@@ -153,42 +153,85 @@ def decode_file(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class WordTokenizer:
-    """The tokenizers library over words: its pattern never crosses a blank, so words are encoded once each."""
+    """The tokenizers library over parts of a text that its pattern never joins, each encoded once.
+
+    These are what stands between blanks, without the marks at its end if a
+    letter or digit is before them. The library lowers case, so words of letters
+    are looked up in lower case. A word of letters alone is one piece of the
+    pattern and ends in a token with the word-end suffix, which tells the words
+    of a joint text apart.
+    """
+
+    TAIL = ".,!?;:%$#*&|"
 
     def __init__(self, path: str):
+        import json
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
+        suffix = json.loads(self.lib.to_str())["model"].get("end_of_word_suffix") or "\0"
+        vocab = self.lib.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(self.lib.get_vocab().values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
         self.words: dict[str, bytes] = {"": b""}
-        # A special token stands between words that are encoded in one go; words that may hold one go alone.
-        added = sorted(self.lib.get_added_tokens_decoder().items())
-        self.between, self.mark = (added[0][0], added[0][1].content) if added else (None, None)
-        self.odd = {t.content[:1] for _, t in added}
-
-    def look_up(self, words: list[str]) -> dict[str, bytes]:
-        alone = [w for w in words if self.mark is None or any(c in w for c in self.odd)]
-        out = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(alone, self.lib.encode_batch_fast(alone, add_special_tokens=False), strict=True)}
-        rest = [w for w in words if w not in out]
+        self.parts: dict[str, bytes] = {"": b""}
+
+    def look_up(self, parts: list[str]) -> None:
+        alone = [p for p in parts if not p.isalpha()]
+        rest = [p for p in parts if p.isalpha()]
         for at in range(0, len(rest), 400):
-            part = rest[at : at + 400]
-            ids = np.array(self.lib.encode(f" {self.mark} ".join(part), add_special_tokens=False).ids, "<u4")
-            cuts = np.flatnonzero(ids == self.between)
-            begins = np.r_[0, cuts + 1]
-            ends = np.r_[cuts, len(ids)]
-            out.update((w, ids[a:z].tobytes()) for w, a, z in zip(part, begins.tolist(), ends.tolist(), strict=True))
+            some = rest[at : at + 400]
+            ids = np.array(self.lib.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(cuts) != len(some):
+                alone += some
+                continue
+            raw, begin = ids.tobytes(), 0
+            for p, end in zip(some, cuts, strict=True):
+                self.parts[p] = raw[4 * begin : 4 * end]
+                begin = end
+        for p, e in zip(alone, self.lib.encode_batch_fast(alone, add_special_tokens=False), strict=True):
+            self.parts[p] = np.array(e.ids, "<u4").tobytes()
+
+    def learn(self, words: set[str]) -> None:
+        new = [w for w in words if w not in self.words]
+        if len(self.words) + len(new) > WORDS:
+            self.words = {"": b""}
+            new = list(words)
+        if len(self.parts) + len(new) > WORDS:
+            self.parts = {"": b""}
+        known, tails, done, split = self.parts, self.TAIL, self.words, []
+        need = set()
+        for w in new:
+            core = w.rstrip(tails)
+            if core != w and not (core and core[-1].isalnum()):
+                core = w
+            key = core.lower() if core.isalpha() and "Σ" not in core else core  # Σ: its lower case depends on what follows
+            tail = w[len(core) :]
+            split.append((w, key, tail))
+            if key not in known:
+                need.add(key)
+            if tail and tail not in known:
+                need.add(tail)
+        self.look_up(list(need))
+        for w, key, tail in split:
+            done[w] = known[key] + known[tail] if tail else known[key]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        out = []
+        for at in range(0, len(texts), 200):
+            split = [t.replace("\n", " ").split(" ") for t in texts[at : at + 200]]
+            self.learn(set().union(*split))
+            words = self.words.__getitem__
+            out += [b"".join(map(words, s)) for s in split]
         return out
 
     def encode(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        parts = text.replace("\n", " ").split(" ")
-        new = [w for w in set(parts) if w not in self.words]
-        if len(self.words) + len(new) > WORDS:
-            self.words, new = {"": b""}, [w for w in set(parts) if w]
-        self.words.update(self.look_up(new))
-        return b"".join(map(self.words.__getitem__, parts))
+        return self.encode_all([text])[0]
 
 
 def write_tokens(docs: DataFrame, path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> Written:
@@ -218,8 +261,8 @@ def write_tokens(docs: DataFrame, path: str, end_id: int = 2, id_col: str = "doc
             )
 
         for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), strings(b.column(1)), strict=True):
-                e = tok.encode(t) + end
+            for i, e in zip(b.column(0).to_pylist(), tok.encode_all(strings(b.column(1))), strict=True):
+                e += end
                 ids.append(i)
                 sizes.append(len(e) // 4)
                 held.append(e)
