@@ -57,9 +57,10 @@ class Written:
 
 
 def worker_state(key: str, make: Callable):
-    """A value kept for the life of a Python worker, such as a loaded model."""
+    """A value kept by a Python worker, such as a loaded model, until another is asked for: workers outlive stages."""
     kept = sys.__dict__.setdefault("_loomgraph_state", {})
     if key not in kept:
+        kept.clear()
         kept[key] = make()
     return kept[key]
 

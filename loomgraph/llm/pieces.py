@@ -28,11 +28,11 @@ from loomgraph.llm.common import strings, worker_state
 
 MARK = "▁"
 #: Entries of the tables of segments and of pairs at most; a full table is emptied.
-SEGMENTS, PAIRS = 250_000, 1 << 20
+SEGMENTS, PAIRS = 120_000, 1 << 20
 #: Segments encoded at once, and characters beyond which a segment is encoded alone.
 AT_ONCE, LONG = 20_000, 64
-#: Texts whose words are learnt together.
-SLICE = 500
+#: Texts whose words are learnt together, and texts whose ids are put out together.
+SLICE, OUT = 300, 100
 
 
 class Table:
@@ -261,6 +261,7 @@ class PieceModel:
         of, steps, tokens, wheres = (np.concatenate(x) for x in zip(*found, strict=True))
         order = np.lexsort((-steps, of))
         ends = np.cumsum(np.bincount(of, minlength=len(words))).tolist()
+        raw = tokens[order].astype("<i4").tobytes()
         tokens, wheres = tokens[order].tolist(), wheres[order].tolist()
         decimal, plain, begin_at = self.decimal, self.plain, 0
         for w, strange, end in zip(words, odd.tolist(), ends, strict=True):
@@ -271,7 +272,7 @@ class PieceModel:
                 self.segments[w] = self.entry(ids)
             else:
                 ids = tokens[begin_at:end]
-                self.segments[w] = ids, ",".join([decimal[i] for i in ids]), "".join([plain[i] for i in ids])
+                self.segments[w] = raw[4 * begin_at : 4 * end], ",".join([decimal[i] for i in ids]), "".join([plain[i] for i in ids])
             begin_at = end
 
     def learn(self, texts: list[str]) -> None:
@@ -293,7 +294,7 @@ class PieceModel:
         return self.runs[n]
 
     def known(self, word: str) -> tuple:
-        """(ids, ids in decimal, decoded text) of a mark and the word."""
+        """(ids as 32-bit integers, ids in decimal, decoded text) of a mark and the word."""
         got = self.segments.get(word)
         if got is None:
             if len(self.segments) >= SEGMENTS:
@@ -304,7 +305,7 @@ class PieceModel:
         return got
 
     def entry(self, ids: list[int]) -> tuple:
-        return ids, ",".join(map(str, ids)), self.lib.decode([self.anchor, *ids])[1:]
+        return np.array(ids, "<i4").tobytes(), ",".join(map(str, ids)), self.lib.decode([self.anchor, *ids])[1:]
 
     def parts(self, text: str) -> list[tuple]:
         """The entries that follow one another in the encoding of the text."""
@@ -321,9 +322,10 @@ class PieceModel:
                 continue
             e = known(w)
             if blank:
-                if e[0][0] == self.mark:  # the word's own mark stays free and joins the run
+                ids = np.frombuffer(e[0], "<i4").tolist()
+                if ids[0] == self.mark:  # the word's own mark stays free and joins the run
                     out.append(self.entry(self.run(blank + 1)))
-                    e = self.entry(e[0][1:])
+                    e = self.entry(ids[1:])
                 else:
                     out.append(self.entry(self.run(blank)))
                 blank = 0
@@ -334,7 +336,7 @@ class PieceModel:
 
     def encode(self, text: str) -> list[int]:
         self.learn([text])
-        return [i for e in self.parts(text) for i in e[0]]
+        return np.frombuffer(b"".join([e[0] for e in self.parts(text)]), "<i4").tolist()
 
 
 def entries(m: PieceModel, texts: list[str]):
@@ -356,11 +358,15 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     def run(batches):
         m = model(path)
         for b in batches:
-            ids, back = [], []
-            for _, parts in entries(m, strings(b.column(1))):
-                ids.append([i for e in parts for i in e[0]])
-                back.append("".join(e[2] for e in parts)[1:])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(back)], names=["id", "ids", "decoded"])
+            for at in range(0, b.num_rows, OUT):  # what comes out is held for OUT texts at a time
+                part = b.slice(at, OUT)
+                ids, back = [], []
+                for _, parts in entries(m, strings(part.column(1))):
+                    ids.append(b"".join([e[0] for e in parts]))
+                    back.append("".join([e[2] for e in parts])[1:])
+                ends = np.cumsum([0, *(len(i) // 4 for i in ids)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+                yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(back, pa.string())], names=["id", "ids", "decoded"])
 
     df = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return df.mapInArrow(run, "id long, ids array<int>, decoded string")
@@ -388,7 +394,7 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
         for b in batches:
             n, ids, back = [], [], []
             for _, parts in entries(m, strings(b.column(1))):
-                n.append(sum(len(e[0]) for e in parts))
+                n.append(sum(len(e[0]) for e in parts) // 4)
                 ids.append(sha(",".join(e[1] for e in parts if e[1])))
                 back.append(sha("".join(e[2] for e in parts)[1:]))
             yield pa.RecordBatch.from_arrays(

@@ -39,7 +39,7 @@ SMOOTH, CUT, SIGMAS, TEMPERATURE = 1.0, 0.5, (2.4, 4.0), 0.25
 #: Steps in which shares are told apart.
 LEVELS = 8
 #: Tokens that a worker's table keeps.
-KEPT = 400_000
+KEPT = 200_000
 #: Values of one histogram when the k-th largest key is looked for.
 BINS = 4096
 
