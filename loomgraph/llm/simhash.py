@@ -130,10 +130,14 @@ def _out(rows: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
     )
 
 
-def links(distinct: DataFrame, radius: int = 4) -> DataFrame:
-    """(a, b): links between distinct fingerprints fp that join all that differ in at most radius bits."""
+def links(distinct: DataFrame, radius: int = 4, reach: int | None = None) -> DataFrame:
+    """(a, b): links between distinct fingerprints fp that join all that differ in at most radius bits.
+
+    Points that share a cell and differ in at most reach bits, radius or more, are linked too.
+    """
     spark = distinct.sparkSession
     masks = np.array(cell_masks(radius), np.uint64)
+    radius = max(radius, reach or 0)
     mixes = np.array([(2 * k + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF for k in range(len(masks))], np.uint64)
 
     def cells(batches):
@@ -246,6 +250,118 @@ def near_duplicates(
     return by_frequent_key(fps, Written(placed, "placed").df, "fp", "copies", total).select("id", "fp", "component")
 
 
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """The different shingles of a text as sorted hashes."""
+    import xxhash
+
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if len(words) <= shingle:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words))] if words else [], np.uint64)
+    grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams), np.uint64))
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of sorted sets; two empty ones are equal."""
+    if not len(a) or not len(b):
+        return float(len(a) == len(b))
+    if len(a) > len(b):
+        a, b = b, a
+    common = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+    return common / (len(a) + len(b) - common)
+
+
+def _verified(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The edges (a, b) between texts of that similarity at least. sets: id, h."""
+
+    def run(batches):
+        for batch in batches:
+            good = [
+                jaccard(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) >= similarity
+                for x, y in zip(batch.column(2), batch.column(3), strict=True)
+            ]
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    # A node of many edges is sent to all tasks, any other meets its edges by a shuffle.
+    total = edges.count()
+    degree = edges.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+    of_a = sets.join(degree, F.col("id") == F.col("a")).select("a", F.col("h").alias("ha"), "n")
+    held = by_frequent_key(edges, of_a, "a", "n", total)
+    degree = edges.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
+    of_b = sets.join(degree, F.col("id") == F.col("b")).select("b", F.col("h").alias("hb"), "n")
+    held = by_frequent_key(held, of_b, "b", "n", total).select("a", "b", "ha", "hb")
+    return held.mapInArrow(run, "a long, b long").distinct()
+
+
+def similar_documents(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 8, reach: int = 12
+) -> DataFrame:
+    """(id, component): near duplicates whose shingle sets have at least that Jaccard similarity.
+
+    Fingerprints give the candidates: all within radius bits, and those within
+    reach that share a cell. Each candidate link is then verified on the whole
+    texts: first each document's link to its nearest, then what still lies
+    between different components. Texts of the same words are one node. Rows
+    that repeat an id are one node, linked if any of them is; a null id has no
+    component. An empty table gives no rows.
+    """
+
+    def run(batches):
+        import xxhash
+
+        for b in batches:
+            texts = strings(b.column(1))
+            fps = np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)
+            keys = [xxhash.xxh64_intdigest(b" ".join(t.encode("utf-8", "surrogatepass").lower().split()), 7) for t in texts]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(fps), pa.array(np.array(keys, np.uint64).view(np.int64))], names=["id", "fp", "key"]
+            )
+
+    def hashed(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 100):
+                part = b.slice(at, 100)
+                sets = [shingle_set(t, shingle).tobytes() for t in strings(part.column(1))]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], names=["id", "h"])
+
+    df = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
+    keyed = Written(df.mapInArrow(run, "id long, fp long, key long"), "keyed").df
+    total = keyed.count()
+    # Texts by fingerprint and words; then fingerprints, each with the least id of its texts.
+    texts = Written(keyed.groupBy("fp", "key").agg(F.min("id").alias("root"), F.count(F.lit(1)).alias("copies")), "texts").df
+    points = Written(texts.groupBy("fp").agg(F.min("root").alias("node"), F.count(F.lit(1)).alias("size")), "points").df
+    found = links(points, radius, reach).withColumn("bits", F.bit_count(F.col("a").bitwiseXOR(F.col("b"))))
+    ends = points.select("fp", "node")
+    found = found.join(ends.toDF("a", "na"), "a").join(ends.toDF("b", "nb"), "b").select("na", "nb", "bits")
+    same = by_frequent_key(texts, points, "fp", "size", total).select(F.col("root").alias("na"), F.col("node").alias("nb"), F.lit(0).alias("bits"))
+    found = found.union(same).where("na <> nb").select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"), "bits")
+    edges = Written(found.groupBy("a", "b").agg(F.min("bits").alias("bits")), "candidates").df
+    both = edges.union(edges.select("b", "a", "bits"))
+    nodes = Written(both.groupBy("a").agg(F.min(F.struct("bits", "b")).alias("best")).select(F.col("a").alias("id"), F.col("best.b").alias("other")), "nodes")
+    near = nodes.df.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+    chosen = Written(nodes.df.select("id"), "chosen").sized()
+    sets = Written(df.join(chosen, "id", "left_semi").mapInArrow(hashed, "id long, h binary"), "sets").df
+    good = Written(_verified(Written(near, "near").df, sets, similarity), "good").df
+    label = connected_components(good)
+    rest = edges.join(near, ["a", "b"], "left_anti").select("a", "b")
+    for end in "ab":
+        rest = rest.join(label.select(F.col("node").alias(end), F.col("component").alias(f"c{end}")), end, "left")
+    rest = rest.where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
+    more = _verified(Written(rest, "rest").df, sets, similarity)
+    label = connected_components(good.union(more))
+    placed = texts.join(label.withColumnRenamed("node", "root"), "root", "left")
+    placed = Written(placed.select("fp", "key", F.coalesce("component", "root").alias("component"), "copies"), "placed").df
+    keyed = keyed.withColumn("text", F.struct("fp", "key"))
+    return by_frequent_key(keyed, placed.select(F.struct("fp", "key").alias("text"), "component", "copies"), "text", "copies", total).select("id", "component")
+
+
+def keep_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The documents whose id is the smallest of its group of similar_documents, with all columns of docs."""
+    found = similar_documents(docs, id_col, text_col, **options)
+    kept = found.where("id = component").select(F.col("id").alias("__kept")).distinct()
+    return docs.join(kept, docs[id_col].cast("long") == kept["__kept"], "left_semi")
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
     """The documents whose id is the smallest of its group, with all columns of docs."""
     found = near_duplicates(docs, id_col, text_col, shingle, radius)

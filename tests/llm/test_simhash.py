@@ -73,3 +73,42 @@ def test_long_chain_of_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001), (7, 7)], "a long, b long")
     got = {r["node"]: r["component"] for r in connected_components(edges).collect()}
     assert all(got[i] == 0 for i in range(301)) and got[1001] == 1000 and len(got) == 303
+
+
+def test_similar_documents_against_brute_force(spark):
+    rng = np.random.default_rng(9)
+    rows = [(None, "no id"), (900, None), (901, ""), (902, "  \n"), (903, "Short text"), (904, "short  TEXT"), (905, "w " * 30_000)]
+    for base in range(40):
+        words = [f"w{x}" for x in rng.integers(0, 3000, int(rng.integers(60, 400)))]
+        rows.append((len(rows) * 3, " ".join(words)))
+        for _ in range(int(rng.integers(0, 4))):
+            new = [w if rng.random() > rng.choice([0.005, 0.02, 0.05]) else f"v{rng.integers(0, 99)}" for w in words]
+            rows.append((len(rows) * 3, " ".join(new)))
+    rows.append((rows[-1][0], rows[-1][1]))
+    docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, component int")
+    ids = sorted({i for i, _ in rows if i is not None})
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for i, t in rows if i is not None}
+    fps = {i: simhash.fingerprint(t, 5) for i, t in rows if i is not None}
+    alike = lambda a, b: a == b or len(a & b) >= 0.8 * len(a | b)
+
+    def groups(linked):
+        label = {i: i for i in ids}
+        for _ in ids:
+            for i in ids:
+                for j in ids:
+                    if linked(i, j):
+                        label[i] = label[j] = min(label[i], label[j])
+            if all(label[i] == label[j] for i in ids for j in ids if linked(i, j)):
+                return label
+
+    pairs = {(i, j): (fps[i] ^ fps[j]).bit_count() for i in ids for j in ids if alike(sets[i], sets[j])}
+    most, least = groups(lambda i, j: (i, j) in pairs), groups(lambda i, j: pairs.get((i, j), 99) <= 8)
+    found = simhash.similar_documents(docs)
+    got = {r["id"]: r["component"] for r in found.collect()}
+    assert set(got) == set(ids) and found.count() == len(rows) - 1
+    assert all(got[i] == got[least[i]] for i in ids)  # all within the radius
+    assert all(most[i] == most[got[i]] for i in ids)  # nothing below the similarity
+    assert got[902] == 900 and got[904] == 903 and got[905] == 905
+    kept = simhash.keep_similar(docs)
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {i for i in ids if got[i] == i}
+    assert simhash.similar_documents(docs.limit(0)).count() == 0
