@@ -21,8 +21,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates: shingles of five words, 8 bits, which is a similarity of 0.8 and more."""
-    return simhash.keep_one(docs, shingle=5, radius=8)
+    """Keeps one document of each group of near duplicates: shingles of five words, a similarity of 0.8 or more."""
+    return simhash.keep_similar(docs, shingle=5, similarity=0.8)
 
 
 def decontaminate_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
