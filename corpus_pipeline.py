@@ -15,8 +15,8 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes repeated chunks of lines out of the texts."""
-    out = linededup.remove_repeats(docs)
+    """Takes repeated chunks of lines, and repeated passages of 50 words or more, out of the texts."""
+    out = linededup.remove_repeats(docs, words=50)
     return out.withColumn("n_chars", F.length("text").cast("long"))
 
 

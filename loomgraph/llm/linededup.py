@@ -7,6 +7,13 @@ find themselves again after shifts. Chunks of MIN_UNITS units or more whose hash
 occurs more than once are brought together and compared byte by byte; of equal
 chunks the first, by id and place, stays and the others are removed.
 
+Chunks alone miss most passages that stand between other text. With words set,
+the runs of units that just reach that many words (from each unit onwards, and
+from each unit back; a unit counts one word at least) are held against each other
+like the chunks. Every run of whole units with that many words or more is covered
+by them from end to end, so it goes wherever it stood before, be it a single long
+unit; what is removed has an equal unit at an earlier place that stays.
+
 Defined cases: a null or empty text has no chunk and comes back as it was (null
 stays null); a text may become empty. Repeated ids: rows of one id and text are
 copies of one another, so they are treated alike; the first chunk of an id stays
@@ -52,8 +59,49 @@ def _boundaries(units: Column) -> Column:
     return bound(hashes, lambda h: bound(rolled(h), peaks))
 
 
-def chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, first, n, hash) of the chunks of MIN_UNITS units or more."""
+def _packed(first: Column, n: Column) -> Column:
+    """A span of units as one long, as sets of longs are hashed and sets of structs are not."""
+    return F.shiftleft(first.cast("long"), 32) + n
+
+
+def _passages(units: Column, words: int) -> Column:
+    """Packed spans of the runs that just reach that many words, onwards and back from each unit."""
+    levels = words.bit_length()
+    steps = F.array(*(F.struct(F.lit(k).alias("level"), F.lit(2**k).alias("size")) for k in reversed(range(levels))))
+
+    def run(table: Column, at: Column, back: bool) -> Column:
+        """How many units from there stay under that many words."""
+
+        def step(acc: Column, k: Column) -> Column:
+            size = k["size"]
+            start = at - acc["n"] - size + 1 if back else at + acc["n"]
+            total = acc["words"] + F.get(F.get(table, k["level"]), start)
+            take = F.coalesce(total < words, F.lit(False))
+            return F.struct(F.when(take, acc["n"] + size).otherwise(acc["n"]).alias("n"), F.when(take, total).otherwise(acc["words"]).alias("words"))
+
+        return F.aggregate(steps, F.struct(F.lit(0).alias("n"), F.lit(0).alias("words")), step, lambda acc: acc["n"])
+
+    def spans(table: Column) -> Column:
+        counts = F.get(table, F.lit(0))
+        on = F.transform(counts, lambda _, i: _packed(i, run(table, i, False) + 1))
+        back = F.transform(counts, lambda _, i: F.get(F.transform(F.array(run(table, i, True)), lambda n: _packed(i - n, n + 1)), F.lit(0)))
+        inside = lambda s: (s >= 0) & (F.shiftright(s, 32) + s.bitwiseAND(F.lit(0xFFFFFFFF)) <= F.size(counts))
+        return F.array_union(F.filter(on, inside), F.filter(back, inside))
+
+    # Each level is bound to a name once, as in _boundaries.
+    def build(table: Column, level: int) -> Column:
+        if level == levels:
+            return spans(table)
+        top = lambda t: F.get(t, F.lit(level - 1))
+        more = lambda t: F.concat(t, F.array(F.transform(top(t), lambda x, i: x + F.get(top(t), i + 2 ** (level - 1)))))
+        return F.get(F.transform(F.array(more(table)), lambda t: build(t, level + 1)), F.lit(0))
+
+    counts = F.transform(units, lambda u: F.greatest(F.lit(1), F.regexp_count(u, F.lit(r"\S+"))))
+    return F.get(F.transform(F.array(F.array(counts)), lambda t: build(t, 1)), F.lit(0))
+
+
+def chunks(docs: DataFrame, id_col: str, text_col: str, words: int | None = None) -> DataFrame:
+    """(id, first, n, hash) of the chunks of MIN_UNITS units or more and, with words, of the runs that just reach them."""
     df = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).where("id IS NOT NULL AND t <> ''")
     df = df.select("id", units_of(F.col("t")).alias("u"))
     df = df.withColumn("b", _boundaries(F.col("u")))
@@ -63,37 +111,49 @@ def chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         "e", lambda e, i: F.struct(F.when(i > 0, F.get("e", i - 1) + 1).otherwise(0).alias("first"), e.alias("last"))
     )
     spans = F.filter(spans, lambda s: s["last"] - s["first"] + 1 >= MIN_UNITS)
+    spans = F.transform(spans, lambda s: _packed(s["first"], s["last"] - s["first"] + 1))
+    if words:
+        spans = F.array_union(spans, _passages(F.col("u"), words))
+    first, n = (lambda s: F.shiftright(s, 32).cast("int")), (lambda s: s.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int"))
     rows = F.transform(
         spans,
-        lambda s: F.struct(
-            s["first"].alias("first"),
-            (s["last"] - s["first"] + 1).alias("n"),
-            F.conv(F.md5(F.encode(F.array_join(F.slice("u", s["first"] + 1, s["last"] - s["first"] + 1), ""), "UTF-8")).substr(1, 15), 16, 10).cast("long").alias("hash"),
-        ),
+        lambda s: F.struct(first(s).alias("first"), n(s).alias("n"), F.xxhash64(F.slice("u", first(s) + 1, n(s))).alias("hash")),
     )
     return df.select("id", F.inline(rows))
 
 
-def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int | None = None) -> DataFrame:
     """(id, first, n) of the chunks to remove: equal, byte for byte, to an earlier one."""
-    found = Written(chunks(docs, id_col, text_col), "chunks").df
+    found = Written(chunks(docs, id_col, text_col, words), "chunks").df
     often = Written(found.groupBy("hash").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("hash"), "often")
     lists = found.join(often.sized(), "hash").groupBy("id").agg(F.collect_set(F.struct("first", "n", "hash")).alias("cands"))
     lists = Written(lists, "candidates")
     df = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
     texts = df.join(lists.sized(), "id").select("id", units_of(F.col("t")).alias("u"), "cands")
-    texts = texts.select("id", "u", F.inline("cands"))
-    texts = texts.select("id", "first", "n", "hash", F.array_join(F.slice("u", F.col("first") + 1, F.col("n")), "").alias("chunk"))
+    chunk = lambda c: F.array_join(F.slice("u", c["first"] + 1, c["n"]), "")
+    texts = texts.select("id", F.inline(F.transform("cands", lambda c: F.struct(c["first"].alias("first"), c["n"].alias("n"), c["hash"].alias("hash"), chunk(c).alias("chunk")))))
     # Grouped by the bytes themselves: partial sums first, so that a common chunk crosses the network once a task.
-    kept = texts.groupBy("hash", "chunk").agg(F.min(F.struct("id", "first")).alias("k")).select("k.id", "k.first")
+    kept = texts.groupBy("hash", "chunk").agg(F.min(F.struct("id", "first", "n")).alias("k")).select("k.id", "k.first", "k.n")
     every = lists.df.select("id", F.inline("cands")).select("id", "first", "n")
-    return every.join(kept, ["id", "first"], "left_anti")
+    return every.join(kept, ["id", "first", "n"], "left_anti")
+
+
+def _merged(spans: Column) -> Column:
+    """Sorted spans (first, n) that may overlap, as spans that do not."""
+
+    def step(done: Column, s: Column) -> Column:
+        last = F.get(done, F.size(done) - 1)
+        wider = F.struct(last["first"].alias("first"), F.greatest(last["n"], s["first"] + s["n"] - last["first"]).alias("n"))
+        touch = F.coalesce(s["first"] <= last["first"] + last["n"], F.lit(False))
+        return F.when(touch, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(wider))).otherwise(F.concat(done, F.array(s)))
+
+    return F.aggregate(spans, F.slice(spans, 1, 0), step)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with repeated chunks taken out of the text; all columns stay."""
-    gone = repeated_chunks(docs, id_col, text_col).groupBy("id").agg(F.array_sort(F.collect_set(F.struct("first", "n"))).alias("__gone"))
-    gone = Written(gone.withColumnRenamed("id", "__id"), "gone")
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int | None = None) -> DataFrame:
+    """docs with repeated chunks taken out of the text, and repeated passages of at least so many words; all columns stay."""
+    gone = repeated_chunks(docs, id_col, text_col, words).groupBy("id").agg(F.array_sort(F.collect_set(F.struct("first", "n"))).alias("__gone"))
+    gone = Written(gone.select(F.col("id").alias("__id"), _merged(F.col("__gone")).alias("__gone")), "gone")
     df = docs.join(gone.sized(), docs[id_col].cast("long") == F.col("__id"), "left")
 
     def rest(units: Column) -> Column:

@@ -1,3 +1,7 @@
+import random
+
+import pytest
+
 from loomgraph.llm import linededup
 
 
@@ -25,3 +29,43 @@ def test_long_and_empty(spark):
     got = {r["doc_id"]: r["n_chars"] for r in linededup.query(docs).collect()}
     assert got == {1: 250_000, 2: 60_000, 3: 0}
     assert linededup.query(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("sentences", [1, 2, 3, 4, 5, 6])
+def test_embedded_passages(spark, sentences):
+    rng = random.Random(sentences)
+    say = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n)) + ". "
+    passage = "".join(say(-(-52 // sentences) + k % 3) for k in range(sentences))
+    own = [["".join(say(rng.randrange(4, 20)) for _ in range(rng.randrange(1, 8))) for _ in range(2)] for _ in range(12)]
+    rows = [(i, a + passage + b) for i, (a, b) in enumerate(own)]
+    got = {r["doc_id"]: r["text"] for r in linededup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), words=50).collect()}
+    assert got[0] == rows[0][1]
+    assert all(got[i] == own[i][0] + own[i][1] for i in range(1, 12))
+
+
+def brute(texts, words):
+    """Units that stand in an earlier run of whole units with so many words: all of them, looked for one by one."""
+    import re
+
+    units = [re.findall(r"(?s).+?(?:\n|[.!?] |\Z)", t) for t in texts]
+    seen, gone = {}, set()
+    for d, u in enumerate(units):
+        count = [max(1, len(x.split())) for x in u]
+        for i in range(len(u)):
+            for j in range(i, len(u)):
+                if sum(count[i : j + 1]) >= words:
+                    if seen.setdefault(tuple(u[i : j + 1]), (d, i)) != (d, i):
+                        gone |= {(d, k) for k in range(i, j + 1)}
+    return ["".join(x for i, x in enumerate(u) if (d, i) not in gone) for d, u in enumerate(units)]
+
+
+def test_passages_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "MIN_UNITS", 10**6)  # passages alone
+    rng = random.Random(3)
+    pool = ["a " * rng.choice([0, 1, 2, 3, 5, 8, 13]) + f"u{k % 25}" + rng.choice(["\n", ". ", "! "]) for k in range(40)] + ["\n"]
+    texts = ["".join(rng.choice(pool) for _ in range(rng.randrange(1, 25))) for _ in range(40)]
+    texts += [texts[0], "a.\n" * 60, "x " * 70, "own. " + texts[3] + "z"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in linededup.remove_repeats(docs, words=15).collect()}
+    want = brute(texts, 15)
+    assert [got[i] for i in range(len(texts))] == want and want[:-3] != texts[:-3]
