@@ -165,7 +165,7 @@ def links(distinct: DataFrame, radius: int = 4, reach: int | None = None) -> Dat
             if last:
                 if chunk:
                     end = int(np.searchsorted(cell, cell[0], "right"))
-                    rows += [(int(v), 0, int(cell[0]) & 0xFFFFFFFFFFFFFFFF, chunk) for v in x[:end]]
+                    rows += [(int(v), 0, int(cell[0]) & 0xFFFFFFFFFFFFFFFF, chunk + 1) for v in x[:end]]
                     chunk = 0
                 rows += [(a, c, 0, -1) for a, c in _link_cells(cell[:last], x[:last], radius)]
                 cell, x = cell[last:], x[last:]

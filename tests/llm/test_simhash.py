@@ -55,6 +55,24 @@ def test_links_join_all_that_are_near(spark, monkeypatch, block, radius):
     assert found.count() < 40 * len(x)
 
 
+def test_hot_cell_over_batches(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", 8)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for n in range(9, 17):  # two points of one cell, parted by its other members; each batch is of 10 rows
+            monkeypatch.setattr(simhash, "cell_masks", lambda radius: [(1 << 64) - (1 << 48)])
+            spread = [(k * 0x9E3779B97F4A7C15 & 0x3FFFFFFFFFFF) | 1 << 40 for k in range(1, n - 1)]
+            x = sorted({0, *spread, 1 << 47 | 3 << 42})
+            x = [v for v in x if v in (0, 1 << 47 | 3 << 42) or min(v.bit_count(), (v ^ (1 << 47 | 3 << 42)).bit_count()) > 4]
+            rest = [(k << 48) | 5 for k in range(1, 30)]
+            df = spark.createDataFrame([(int(np.uint64(v).view(np.int64)),) for v in x + rest], "fp long")
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10)
+            got = {(r["a"], r["b"]) for r in simhash.links(df, 4).collect()}
+            assert (0, 1 << 47 | 3 << 42) in got or (1 << 47 | 3 << 42, 0) in got, n
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
 def test_documents(spark):
     base = " ".join(f"w{i}" for i in range(400))
     rows = [(5, base), (3, base.upper()), (9, base), (7, None), (8, ""), (2, "other words here at all now"), (9, base), (11, base.replace("w7 ", "v7 "))]
