@@ -232,6 +232,83 @@ def links(distinct: DataFrame, radius: int = 4, reach: int | None = None) -> Dat
     return found.union(more.select("a", "b")).distinct()
 
 
+def unlike_pairs(points: DataFrame, radius: int, reach: int) -> DataFrame:
+    """(a, b): all pairs of points (id, fp, label) of different labels that share a cell and differ in at most reach bits.
+
+    Each pair comes out once, in the first of the cells it shares. Large cells
+    are dealt into pairs of chunks.
+    """
+    parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    masks = np.array(cell_masks(radius), np.uint64)
+    blocks = np.array([sum(3 << (2 * int(s)) for s in b) for b in np.array_split(np.arange(32), radius + SHARED)], np.uint64)
+    holds = np.array([[k in c for k in range(len(blocks))] for c in combinations(range(len(blocks)), SHARED)])
+    ends = np.array([max(c) for c in combinations(range(len(blocks)), SHARED)])
+    schema = "fp long, id long, label long, kind short, cell long"
+
+    def cells(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 2048):
+                part = b.slice(at, 2048)
+                e = embed(part.column(0).to_numpy(zero_copy_only=False).view(np.uint64))[:, None] & masks[None, :]
+                rows = np.repeat(np.arange(part.num_rows), len(masks))
+                kinds = np.tile(np.arange(len(masks), dtype=np.int16), part.num_rows)
+                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(rows)) for c in part.columns), pa.array(kinds), pa.array(e.ravel().view(np.int64))], names=[f.split()[0] for f in schema.split(", ")])
+
+    def wanted(x, label, kind, chunk, own, i, j):
+        """Which of the pairs (i, j) of one cell are to come out of it."""
+        ok = (label[i] != label[j]) & (own[i] | (chunk[i] != chunk[j]))
+        i, j = i[ok], j[ok]
+        diff = embed(x[i]) ^ embed(x[j])
+        ok = (np.bitwise_count(diff) <= reach) & (np.bitwise_count(x[i] ^ x[j]) <= reach)
+        i, j, diff, kind = i[ok], j[ok], diff[ok], kind[i[ok]]
+        ok = np.ones(len(i), bool)
+        for k, mask in enumerate(blocks):
+            ok &= ((diff & mask) != 0) | holds[kind, k] | (ends[kind] < k)
+        return i[ok], j[ok]
+
+    def run(batches):
+        def flush(key, x, ids, *more, few=32, side=512):
+            starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            sizes = np.diff(np.r_[starts, len(key)])
+            of = np.repeat(sizes, sizes)
+            for s in range(1, min(few, int(sizes.max()))):
+                at = np.flatnonzero((key[s:] == key[:-s]) & (of[:-s] <= few))
+                i, j = wanted(x, *more, at, at + s)
+                yield ids[i], ids[j]
+            for k in np.flatnonzero(sizes > few):
+                for at in range(starts[k], starts[k] + sizes[k], side):
+                    end = starts[k] + sizes[k]
+                    i, j = np.meshgrid(np.arange(at, min(at + side, end)), np.arange(at + 1, end), indexing="ij")
+                    i, j = wanted(x, *more, i[i < j], j[i < j])
+                    yield ids[i], ids[j]
+
+        kept = None
+        for b in batches:
+            now = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+            now[1] = now[1].view(np.uint64)
+            kept = now if kept is None else [np.concatenate(c) for c in zip(kept, now, strict=True)]
+            last = int(np.searchsorted(kept[0], kept[0][-1])) if len(kept[0]) else 0
+            if last:
+                yield from map(out, flush(*(c[:last] for c in kept)))
+                kept = [c[last:] for c in kept]
+        if kept is not None and len(kept[0]):
+            yield from map(out, flush(*kept))
+
+    def out(pair):
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(*pair)), pa.array(np.maximum(*pair))], names=["a", "b"])
+
+    dealt = points.select("fp", "id", "label").mapInArrow(cells, schema)
+    size = dealt.groupBy("kind", "cell").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
+    size = Written(size.where("low <> high").select("kind", "cell", F.ceil(F.col("n") / BLOCK).cast("int").alias("chunks")), "cells")
+    dealt = dealt.join(size.sized(), ["kind", "cell"])
+    dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("id"), "chunks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    dealt = dealt.withColumn("key", F.xxhash64("kind", "cell", F.least("chunk", "other"), F.greatest("chunk", "other")))
+    dealt = dealt.select("key", "fp", "id", "label", "kind", "chunk", (F.col("chunk") == F.col("other")).alias("own"))
+    # The points of both chunks meet; those of one chunk are compared where it meets itself.
+    both = dealt.repartition(parts, "key").sortWithinPartitions("key")
+    return both.mapInArrow(run, "a long, b long")
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4
 ) -> DataFrame:
@@ -301,7 +378,8 @@ def similar_documents(
     Fingerprints give the candidates: all within radius bits, and those within
     reach that share a cell. Each candidate link is then verified on the whole
     texts: first each document's link to its nearest, then what still lies
-    between different components. Texts of the same words are one node. Rows
+    between different components, then all pairs of texts of different components
+    in groups of fingerprints where a link failed. Texts of the same words are one node. Rows
     that repeat an id are one node, linked if any of them is; a null id has no
     component. An empty table gives no rows.
     """
@@ -347,8 +425,16 @@ def similar_documents(
     for end in "ab":
         rest = rest.join(label.select(F.col("node").alias(end), F.col("component").alias(f"c{end}")), end, "left")
     rest = rest.where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
-    more = _verified(Written(rest, "rest").df, sets, similarity)
-    label = connected_components(good.union(more))
+    good = Written(good.union(_verified(Written(rest, "rest").df, sets, similarity)), "good").df
+    label = connected_components(good)
+    # The candidates are a forest, so where one failed its ends' neighbours were perhaps never compared: in groups of
+    # fingerprints that did not become one, all texts of different components are candidates.
+    group = connected_components(edges.select("a", "b")).toDF("root", "group").join(label.toDF("root", "label"), "root", "left")
+    group = Written(group.select("root", "group", F.coalesce("label", "root").alias("label")), "groups").df
+    broken = group.groupBy("group").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("group")
+    loose = group.join(Written(broken, "broken").sized(), "group", "left_semi").join(texts, "root").select("fp", F.col("root").alias("id"), "label")
+    missed = unlike_pairs(Written(loose, "loose").df, radius, reach).join(edges, ["a", "b"], "left_anti")
+    label = connected_components(good.union(_verified(Written(missed, "missed").df, sets, similarity)))
     placed = texts.join(label.withColumnRenamed("node", "root"), "root", "left")
     placed = Written(placed.select("fp", "key", F.coalesce("component", "root").alias("component"), "copies"), "placed").df
     keyed = keyed.withColumn("text", F.struct("fp", "key"))
