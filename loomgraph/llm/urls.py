@@ -4,7 +4,9 @@ Labelled page outcomes (1: bad) are counted by host. The rate of a suffix is
 shrunk to the rate of all pages, that of a registered domain to its suffix, that
 of a host to its domain, each through a beta prior whose strength is fitted by
 moments at its level. A page is blocked if the lower bound of its host's
-posterior, mean less Z standard deviations, is above a limit.
+posterior, mean less Z standard deviations, is above a limit. Simplified: the
+registered domain is a host's last two labels and the suffix its last one, so
+under suffixes such as co.uk all sites share one domain.
 
 Defined cases: a null url, or one without "://", has an empty host and path and
 so is judged like any host. A null outcome is not counted. Hosts without
