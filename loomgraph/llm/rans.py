@@ -5,13 +5,16 @@ lengths, one frequency table for all its blocks, and the blocks. Each block of
 BLOCK tokens is coded by LANES interleaved coders that share a stream of 32-bit
 words; every CHECKPOINT steps the coders' states, the place in the stream and a
 CRC-32 of the tokens that follow are kept, so that all parts decode at once.
-Files are rows of a Parquet table in the shared folder: Spark's committer makes
-each of them appear once, whatever tasks are lost or run again.
+Files are made as rows of a Parquet table in the shared folder: Spark's committer
+makes each of them appear once, whatever tasks are lost or run again.
+export_files writes them out as files of their own, import_files opens such.
 
 Defined cases: a null text counts as empty, so its document is the end id alone;
-documents that repeat an id follow one another and are all returned; an empty
-table gives no files and no rows. Only the named columns are read. A checksum
-that does not hold raises ValueError.
+documents that repeat an id follow one another and are all returned; those with
+a null id come first and keep it; an empty table gives no files and no rows.
+Only the named columns are read. A checksum that does not hold raises
+ValueError, as does a tokenizer file whose normaliser or pattern is not the one
+that the cutting of texts relies on.
 """
 from __future__ import annotations
 
@@ -20,9 +23,8 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from loomgraph.llm.common import Written, strings, worker_state
 
@@ -51,8 +53,10 @@ def frequencies(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     return symbols, freq, bits
 
 
-def encode_file(doc_ids: np.ndarray, lengths: np.ndarray, tokens: np.ndarray) -> bytes:
+def encode_file(doc_ids: np.ndarray, lengths: np.ndarray, tokens: np.ndarray, known: np.ndarray | None = None) -> bytes:
+    """known: which ids are not null; all of them if it is not given."""
     n = len(tokens)
+    known = np.ones(len(doc_ids), bool) if known is None else known
     symbols, freq, bits = frequencies(tokens)
     start = np.cumsum(freq) - freq
     blocks = max(1, -(-n // BLOCK))
@@ -89,14 +93,14 @@ def encode_file(doc_ids: np.ndarray, lengths: np.ndarray, tokens: np.ndarray) ->
         places = before[:, list(marks)]
     sums = [zlib.crc32(padded.reshape(blocks, steps, LANES)[i, t : t + CHECKPOINT].astype("<u4").tobytes()) for i in range(blocks) for t in marks]
     table = zlib.compress(np.diff(symbols, prepend=0).astype("<u4").tobytes() + freq.astype("<u4").tobytes(), 1)
-    docs = zlib.compress(np.diff(doc_ids, prepend=np.int64(0)).astype("<i8").tobytes() + lengths.astype("<u4").tobytes(), 1)
+    docs = zlib.compress(np.diff(doc_ids, prepend=np.int64(0)).astype("<i8").tobytes() + lengths.astype("<u4").tobytes() + np.packbits(known).tobytes(), 1)
     head = struct.pack("<8s9Q", MAGIC, n, len(doc_ids), len(symbols), bits, blocks, steps, len(table), len(docs), len(stream))
     body = table + docs + states.astype("<u8").tobytes() + places.astype("<u8").tobytes() + np.array(sums, "<u4").tobytes() + stream.astype("<u4").tobytes()
     return head + struct.pack("<I", zlib.crc32(body[: len(body) - 4 * len(stream)], zlib.crc32(head))) + body
 
 
-def decode_file(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(doc_ids, lengths, tokens) of a file; ValueError if a checksum does not hold."""
+def decode_file(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(doc_ids, lengths, tokens, which ids are not null) of a file; ValueError if a checksum does not hold."""
     head = struct.calcsize("<8s9Q")
     if len(data) < head + 4:
         raise ValueError("not a token file")
@@ -112,6 +116,7 @@ def decode_file(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     raw = zlib.decompress(data[at : at + docs])
     doc_ids = np.cumsum(np.frombuffer(raw, "<i8", ndocs))
     lengths = np.frombuffer(raw, "<u4", ndocs, 8 * ndocs).astype(np.int64)
+    known = np.unpackbits(np.frombuffer(raw, np.uint8, -1, 12 * ndocs), count=ndocs).astype(bool)
     at += docs
     marks = -(-steps // CHECKPOINT)
     units = blocks * marks
@@ -149,17 +154,22 @@ def decode_file(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             part = flat[i, m * CHECKPOINT : (m + 1) * CHECKPOINT]
             if zlib.crc32(np.ascontiguousarray(part, "<u4").tobytes()) != sums[i * marks + m]:
                 raise ValueError(f"block {i}, part {m}: the checksum does not hold")
-    return doc_ids, lengths, flat.reshape(-1)[:n]
+    return doc_ids, lengths, flat.reshape(-1)[:n], known
+
+
+#: What a tokenizer file must do to texts for WordTokenizer's cuts to hold (fixed values of its format).
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 class WordTokenizer:
     """The tokenizers library over parts of a text that its pattern never joins, each encoded once.
 
-    These are what stands between blanks, without the marks at its end if a
-    letter or digit is before them. The library lowers case, so words of letters
-    are looked up in lower case. A word of letters alone is one piece of the
-    pattern and ends in a token with the word-end suffix, which tells the words
-    of a joint text apart.
+    These are what stands between blanks, without the marks at its end if the
+    library, asked for each character once, tells them apart from the character
+    before. It lowers case, so words of ASCII letters are looked up in lower case.
+    A word of letters alone is mostly one piece of the pattern and ends in a token
+    with the word-end suffix, which tells the words of a joint text apart.
     """
 
     TAIL = ".,!?;:%$#*&|"
@@ -172,12 +182,26 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
-        suffix = json.loads(self.lib.to_str())["model"].get("end_of_word_suffix") or "\0"
+        spec = json.loads(self.lib.to_str())
+        split = (spec["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
+        whole = all(not (t["lstrip"] or t["rstrip"] or set(t["content"]) <= set(self.TAIL) or any(c.isspace() for c in t["content"])) for t in spec["added_tokens"])
+        ends_marked = any(t["content"][-1:] in self.TAIL for t in spec["added_tokens"])
+        if (spec["normalizer"] or {}).get("normalizers") != NORMALIZERS or split[0].get("pattern") != {"Regex": PATTERN} or not whole or ends_marked:
+            raise ValueError(f"{path}: not the normaliser, pattern or added tokens that words are cut by")
+        suffix = spec["model"].get("end_of_word_suffix") or "\0"
         vocab = self.lib.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(self.lib.get_vocab().values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
         self.words: dict[str, bytes] = {"": b""}
         self.parts: dict[str, bytes] = {"": b""}
+        self.apart: dict[str, bool] = {}
+
+    def cuts_after(self, char: str) -> bool:
+        """Whether marks that follow the character are a piece of their own."""
+        if char not in self.apart:
+            pieces = self.lib.pre_tokenizer.pre_tokenize_str(self.lib.normalizer.normalize_str(char + "."))
+            self.apart[char] = len(pieces) > 1 and pieces[-1][0] == "."
+        return self.apart[char]
 
     def look_up(self, parts: list[str]) -> None:
         alone = [p for p in parts if not p.isalpha()]
@@ -207,9 +231,9 @@ class WordTokenizer:
         need = set()
         for w in new:
             core = w.rstrip(tails)
-            if core != w and not (core and core[-1].isalnum()):
+            if core != w and not (core and self.cuts_after(core[-1])):
                 core = w
-            key = core.lower() if core.isalpha() and "Σ" not in core else core  # Σ: its lower case depends on what follows
+            key = core.lower() if core.isascii() and core.isalpha() else core
             tail = w[len(core) :]
             split.append((w, key, tail))
             if key not in known:
@@ -252,7 +276,8 @@ def write_tokens(docs: DataFrame, path: str, end_id: int = 2, id_col: str = "doc
         def flush():
             nonlocal seq, start, ids, sizes, held, total
             tokens = np.frombuffer(b"".join(held), "<u4")
-            data = encode_file(np.array(ids, np.int64), np.array(sizes, np.int64), tokens)
+            known = np.array([i is not None for i in ids])
+            data = encode_file(np.array([i or 0 for i in ids], np.int64), np.array(sizes, np.int64), tokens, known)
             row = [[part], [seq], [start], [total], [len(ids)]]
             seq, start = seq + 1, start + total
             ids, sizes, held, total = [], [], [], 0
@@ -273,11 +298,55 @@ def write_tokens(docs: DataFrame, path: str, end_id: int = 2, id_col: str = "doc
             yield flush()
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
+    df = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     df = df.repartitionByRange(parts, "id").sortWithinPartitions("id")
     return Written(df.mapInArrow(run, "part long, seq long, start long, n_tokens long, n_docs long, data binary"), "tokens")
 
 
+def _named(part: int, seq: int) -> str:
+    return f"{part:08d}-{seq:08d}.tokens"
+
+
+def export_files(files: DataFrame, folder: str) -> DataFrame:
+    """(name, bytes): every file written under its own name to a folder that all executors reach, as a path or an address.
+
+    A file appears under its name when it is whole, and a task run again writes the same bytes.
+    """
+
+    def run(batches):
+        import uuid
+
+        from pyarrow import fs
+
+        for b in batches:
+            names, sizes = [], []
+            for part, seq, data in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                store, base = fs.FileSystem.from_uri(folder)
+                store.create_dir(base)
+                name = _named(part, seq)
+                began = f"{base}/.{name}.{uuid.uuid4().hex}"
+                with store.open_output_stream(began) as out:
+                    out.write(data)
+                store.move(began, f"{base}/{name}")
+                names.append(name)
+                sizes.append(len(data))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(sizes, pa.int64())], names=["name", "bytes"])
+
+    return Written(files.select("part", "seq", "data").mapInArrow(run, "name string, bytes long"), "exported").df
+
+
+def import_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The files of such a folder as write_tokens returns them."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.tokens").load(folder)
+    name = F.regexp_extract("path", r"([0-9]+)-([0-9]+)\.tokens$", 1), F.regexp_extract("path", r"([0-9]+)-([0-9]+)\.tokens$", 2)
+    # The head of a file: its mark, then counts of tokens and documents, little-endian.
+    number = lambda at: F.conv(F.concat(*(F.hex(F.expr(f"substring(content, {at + i}, 1)")) for i in reversed(range(8)))), 16, 10).cast("long")
+    rows = found.select(name[0].cast("long").alias("part"), name[1].cast("long").alias("seq"), number(9).alias("n_tokens"), number(17).alias("n_docs"), F.col("content").alias("data"))
+    before = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.select("part", "seq", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("start"))
+    return rows.join(sizes, ["part", "seq"]).select("part", "seq", "start", "n_tokens", "n_docs", "data")
+
+
 def starts(files: DataFrame) -> DataFrame:
     """(part, before): tokens of all parts before. One row a part, so the window's rows are few by construction."""
     totals = files.groupBy("part").agg(F.sum("n_tokens").alias("n"))
@@ -291,13 +360,13 @@ def read_tokens(files: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             for part, start, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                ids, lengths, tokens = decode_file(data.as_py())
+                ids, lengths, tokens, known = decode_file(data.as_py())
                 raw = memoryview(tokens.astype("<u4").tobytes())
                 ends = np.cumsum(lengths)
                 begins = ends - lengths
                 crc = [zlib.crc32(raw[4 * a : 4 * z]) for a, z in zip(begins.tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(ids), part)), pa.array(ids), pa.array(begins + start), pa.array(lengths), pa.array(crc, pa.int64())],
+                    [pa.array(np.full(len(ids), part)), pa.array(ids, mask=~known), pa.array(begins + start), pa.array(lengths), pa.array(crc, pa.int64())],
                     names=["part", "doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 

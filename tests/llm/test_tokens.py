@@ -1,5 +1,7 @@
 import hashlib
+import json
 import random
+import unicodedata
 import zlib
 
 import numpy as np
@@ -14,6 +16,7 @@ WORDS, PIECES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.p
 ODD = [
     "", "  ", " a", "a  b   c", "▁x ▁▁", " " * 40 + "☃", "\t\n a\n\n", "<s> </s><unk>", "日本語テスト  漢字☃️", "naïve x", "a" * 300, "ab" * 200, " " * 31, "\x00 z", "ﬁ ％",
     "a<|endoftext|>b <|startoftext|>, <|ENDOFTEXT|> x", "\x1c\x85 x　y", "ΑΣ ΣΑΣ ς,", "İI", "é ́x", "it's we'll IT'S o'clock'", "K Å", "각 한글", "١٢ ½x ²", "a.b.c... x|y| |",
+    "İ. aİ, x İ! क़. ﬃ; ǅ: ΑΣ. Σ, K! é. é, 가. ², Ⅷ. ৳.", "<|endoftext|. x<|endoftext|>. |<|endoftext|>|",
 ]
 
 
@@ -55,8 +58,9 @@ def test_rans_round_trip(n):
     rng = np.random.default_rng(n)
     tokens = (rng.zipf(1.3, n) % 49_000).astype(np.uint32)
     lengths = np.array([n // 3, 0, n - n // 3])
-    ids, sizes, back = rans.decode_file(rans.encode_file(np.array([5, 5, 900]), lengths, tokens))
-    assert ids.tolist() == [5, 5, 900] and sizes.tolist() == lengths.tolist() and (back == tokens).all()
+    known = np.array([False, True, True])
+    ids, sizes, back, kept = rans.decode_file(rans.encode_file(np.array([0, 5, 900]), lengths, tokens, known))
+    assert ids.tolist() == [0, 5, 900] and sizes.tolist() == lengths.tolist() and (back == tokens).all() and (kept == known).all()
 
 
 def test_rans_one_symbol_and_damage():
@@ -82,3 +86,35 @@ def test_files_equal_the_library(spark, monkeypatch, size):
         assert tuple(row) == (i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())), t
         start += len(ids)
     assert rans.read_tokens(rans.write_tokens(df.limit(0), WORDS).df).count() == 0
+
+
+def test_every_character_before_every_mark():
+    lib, own = Tokenizer.from_file(WORDS), rans.WordTokenizer(WORDS)
+    marks = own.TAIL
+    chars = [chr(c) for c in range(1, 0x110000) if unicodedata.category(chr(c)) not in ("Cs", "Co", "Cn")]
+    texts = [f"{c}{marks[i % len(marks)]} b{c}{marks[i * 7 % len(marks)]}. {c.upper()}!{c}" for i, c in enumerate(chars)]
+    for at in range(0, len(texts), 5000):
+        some = texts[at : at + 5000]
+        want = [np.array(e.ids, "<u4").tobytes() for e in lib.encode_batch(some, add_special_tokens=False)]
+        assert own.encode_all(some) == want
+
+
+def test_another_tokenizer_is_refused(tmp_path):
+    spec = json.loads(open(WORDS, encoding="utf-8").read())
+    for change in ({"normalizer": None}, {"pre_tokenizer": {"type": "Whitespace"}}):
+        path = tmp_path / "other.json"
+        path.write_text(json.dumps(spec | change), encoding="utf-8")
+        with pytest.raises(ValueError):
+            rans.WordTokenizer(str(path))
+
+
+def test_null_and_repeated_ids_and_files(spark, tmp_path):
+    df = spark.createDataFrame([(None, "a b", "z"), (7, "c", "z"), (7, "c", "z"), (None, None, "z"), (-3, "d.", "z")], "doc_id long, text string, part string")
+    files = rans.write_tokens(df, WORDS).df
+    got = sorted((tuple(r) for r in rans.read_tokens(files).collect()), key=lambda r: r[1])
+    assert [(r[0], r[2]) for r in got[2:]] == [(-3, 3), (7, 2), (7, 2)] and sorted((r[0], r[2]) for r in got[:2]) == [(None, 1), (None, 3)]
+    names = rans.export_files(files, f"file://{tmp_path}/out").collect()
+    assert all((tmp_path / "out" / r["name"]).stat().st_size == r["bytes"] for r in names)
+    opened = rans.import_files(spark, f"{tmp_path}/out")
+    assert sorted(map(tuple, opened.drop("data").collect())) == sorted(map(tuple, files.drop("data").collect()))
+    assert sorted(map(tuple, rans.read_tokens(opened).collect()), key=str) == sorted(got, key=str)
