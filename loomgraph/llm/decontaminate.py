@@ -78,17 +78,21 @@ def windows(text: str | None, window: int) -> list[tuple[bytes, ...]]:
     return [tuple(w[i : i + window]) for i in range(max(1, len(w) - window + 1))]
 
 
+def _engines(items: list[tuple[int, str]], window: int) -> list[WuManber]:
+    by_length: dict[int, dict] = {}
+    for item, text in items:
+        for w in windows(text, window):
+            by_length.setdefault(len(w), {}).setdefault(w, set()).add(item)
+    return [WuManber(n, {p: tuple(i) for p, i in found.items()}) for n, found in sorted(by_length.items())]
+
+
 def _search(docs: DataFrame, items: list[tuple[int, str]], window: int) -> DataFrame:
     """(id, n_words, spans, items): occurrences as flat starts and ends, merged."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(items)
 
     def run(batches):
-        by_length: dict[int, dict] = {}
-        for item, text in sent.value:
-            for w in windows(text, window):
-                by_length.setdefault(len(w), {}).setdefault(w, set()).add(item)
-        engines = [WuManber(n, {p: tuple(i) for p, i in found.items()}) for n, found in sorted(by_length.items())]
+        engines = _engines(sent.value, window)
         for b in batches:
             counts, spans, hits = [], [], []
             for text in strings(b.column(1)):
@@ -115,6 +119,15 @@ def _search(docs: DataFrame, items: list[tuple[int, str]], window: int) -> DataF
     return docs.mapInArrow(run, "id long, n_words long, spans array<long>, items array<long>")
 
 
+def _slices(benchmark: DataFrame, item_col: str, text_col: str, slice_bytes: int) -> list[DataFrame]:
+    """The benchmark's (item, text) in parts of some slice_bytes."""
+    bench = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(text_col).alias("text"))
+    bench = bench.where("item IS NOT NULL AND text IS NOT NULL")
+    n = 1 + (bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // slice_bytes
+    part = F.pmod(F.xxhash64("item", "text"), F.lit(n))
+    return [bench.where(part == k) for k in range(n)] if n > 1 else [bench]
+
+
 def find_contamination(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -127,18 +140,14 @@ def find_contamination(
 ) -> DataFrame:
     """(id, n_words, spans, items): hit words as flat starts and ends, and the items found, ascending."""
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    bench = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text"))
-    bench = bench.where("item IS NOT NULL AND text IS NOT NULL")
-    size = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    slices = 1 + size // slice_bytes
-    if slices == 1:
-        return _search(docs, [tuple(r) for r in bench.collect()], window)
+    parts = _slices(benchmark, item_col, item_text_col, slice_bytes)
+    if len(parts) == 1:
+        return _search(docs, [tuple(r) for r in parts[0].collect()], window)
     # Ids may repeat, so rows are told apart before slices are put together.
     docs = Written(docs.withColumn("row", F.monotonically_increasing_id()), "documents").df
-    part = F.pmod(F.xxhash64("item", "text"), F.lit(slices))
     every = None
-    for k in range(slices):
-        rows = [tuple(r) for r in bench.where(part == k).collect()]
+    for bench in parts:
+        rows = [tuple(r) for r in bench.collect()]
         one = Written(_search(docs.select(F.col("row").alias("id"), "text"), rows, window), "slice").df
         every = one if every is None else every.union(one)
     every = every.groupBy("id").agg(
@@ -167,11 +176,26 @@ def find_contamination(
     return rows.join(every.withColumnRenamed("id", "row"), "row").select(F.col("own").alias("id"), "n_words", "spans", "items")
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """The rows of docs without any hit word, with all their columns."""
-    found = find_contamination(docs, benchmark, id_col, text_col, window=window)
-    bad = found.where(F.size("items") > 0).select(F.col("id").alias("__bad")).distinct()
-    return docs.join(bad, docs[id_col].cast("long") == bad["__bad"], "left_anti")
+def remove_contaminated(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, slice_bytes: int = PATTERN_BYTES
+) -> DataFrame:
+    """The rows of docs without any hit word, with all their columns. Each row is judged where it lies: nothing is shuffled."""
+    sc, place = docs.sparkSession.sparkContext, docs.columns.index(text_col)
+
+    def clean(items: list[tuple[int, str]]):
+        sent = sc.broadcast(items)
+
+        def run(batches):
+            engines = _engines(sent.value, window)
+            for b in batches:
+                words = map(words_of, strings(b.column(place)))
+                yield b.filter(pa.array([not any(True for e in engines for _ in e.search(w)) for w in words], pa.bool_()))
+
+        return run
+
+    for bench in _slices(benchmark, "item_id", "text", slice_bytes):
+        docs = docs.mapInArrow(clean([tuple(r) for r in bench.collect()]), docs.schema)
+    return docs
 
 
 def query(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -1,11 +1,13 @@
 """Line dedup by content-defined chunks of lines. DataFrame functions only.
 
-A text is cut into units: lines, and in long lines sentences. A rolling hash over
-the hashes of each unit and the one before marks a boundary where it is larger
-than at both neighbours, so boundaries depend on nearby units alone and chunks
-find themselves again after shifts. Chunks of MIN_UNITS units or more whose hash
-occurs more than once are brought together and compared byte by byte; of equal
-chunks the first, by id and place, stays and the others are removed.
+A text is cut into units: its lines with their ends; a line of over LONG_LINE
+characters, a parameter, is cut into its sentences instead, as texts without line
+ends would be one unit. A rolling hash over the hashes of each unit and the one
+before marks a boundary where it is larger than at both neighbours, so boundaries
+depend on nearby units alone and chunks find themselves again after shifts.
+Chunks of MIN_UNITS units or more whose hash occurs more than once are brought
+together and compared byte by byte; of equal chunks the first, by id and place,
+stays and the others are removed.
 
 Chunks alone miss most passages that stand between other text. With words set,
 the runs of units that just reach that many words (from each unit onwards, and
@@ -15,25 +17,31 @@ by them from end to end, so it goes wherever it stood before, be it a single lon
 unit; what is removed has an equal unit at an earlier place that stays.
 
 Defined cases: a null or empty text has no chunk and comes back as it was (null
-stays null); a text may become empty. Repeated ids: rows of one id and text are
-copies of one another, so they are treated alike; the first chunk of an id stays
-in all its rows. Rows with a null id are returned untouched. Other columns pass
-through; names starting with two underscores are reserved. No rows, no rows.
+stays null); a text may become empty. Repeated ids: a row is known by its id and
+the hash of its text, so rows of one id with other texts are other documents, and
+the one with the smaller hash comes first; rows of one id and text are copies of
+one another and treated alike, so the first chunk stays in all of them. Rows with
+a null id are returned untouched. Other columns pass through; names starting with
+two underscores are reserved. No rows, no rows.
 """
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import Written
+from loomgraph.llm.common import BROADCAST_BYTES, Written, by_frequent_key, scratch
 
-#: A unit: up to the end of a line, or of a sentence and its blank.
-UNIT = r"(?s).+?(?:\n|[.!?] |\z)"
+#: A line with its end; a sentence with its blank, in lines of over so many characters.
+LINE, SENTENCE, LONG_LINE = r"[^\n]*\n|[^\n]+", r"(?s).+?(?:[.!?] |\z)", 200
 MIN_UNITS = 2
 
+#: What tells rows apart: the id and the hash of the text.
+_ROW = ["id", "key"]
 
-def units_of(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(UNIT), F.lit(0))
+
+def units_of(text: Column, long_line: int = LONG_LINE) -> Column:
+    lines = F.regexp_extract_all(text, F.lit(LINE), F.lit(0))
+    return F.flatten(F.transform(lines, lambda x: F.when(F.length(x) > long_line, F.regexp_extract_all(x, F.lit(SENTENCE), F.lit(0))).otherwise(F.array(x))))
 
 
 def unit_hash(unit: Column) -> Column:
@@ -100,10 +108,15 @@ def _passages(units: Column, words: int) -> Column:
     return F.get(F.transform(F.array(F.array(counts)), lambda t: build(t, 1)), F.lit(0))
 
 
-def chunks(docs: DataFrame, id_col: str, text_col: str, words: int | None = None) -> DataFrame:
-    """(id, first, n, hash) of the chunks of MIN_UNITS units or more and, with words, of the runs that just reach them."""
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, key, t) of the rows that may lose chunks."""
     df = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).where("id IS NOT NULL AND t <> ''")
-    df = df.select("id", units_of(F.col("t")).alias("u"))
+    return df.select("id", F.xxhash64("t").alias("key"), "t")
+
+
+def chunks(docs: DataFrame, id_col: str, text_col: str, words: int | None = None, long_line: int = LONG_LINE) -> DataFrame:
+    """(id, key, first, n, hash) of the chunks of MIN_UNITS units or more and, with words, of the runs that just reach them."""
+    df = _rows(docs, id_col, text_col).select(*_ROW, units_of(F.col("t"), long_line).alias("u"))
     df = df.withColumn("b", _boundaries(F.col("u")))
     ends = F.concat("b", F.array(F.size("u") - 1))
     df = df.withColumn("e", ends)
@@ -119,23 +132,26 @@ def chunks(docs: DataFrame, id_col: str, text_col: str, words: int | None = None
         spans,
         lambda s: F.struct(first(s).alias("first"), n(s).alias("n"), F.xxhash64(F.slice("u", first(s) + 1, n(s))).alias("hash")),
     )
-    return df.select("id", F.inline(rows))
-
-
-def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int | None = None) -> DataFrame:
-    """(id, first, n) of the chunks to remove: equal, byte for byte, to an earlier one."""
-    found = Written(chunks(docs, id_col, text_col, words), "chunks").df
-    often = Written(found.groupBy("hash").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("hash"), "often")
-    lists = found.join(often.sized(), "hash").groupBy("id").agg(F.collect_set(F.struct("first", "n", "hash")).alias("cands"))
+    return df.select(*_ROW, F.inline(rows))
+
+
+def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int | None = None, long_line: int = LONG_LINE) -> DataFrame:
+    """(id, key, first, n) of the chunks to remove: equal, byte for byte, to an earlier one. key: the text's xxHash64."""
+    found = Written(chunks(docs, id_col, text_col, words, long_line), "chunks")
+    often = Written(found.df.groupBy("hash").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "often")
+    if often.bytes() <= BROADCAST_BYTES:
+        twice = found.df.join(F.broadcast(often.df.drop("c")), "hash")
+    else:
+        twice = by_frequent_key(found.df, often.df, "hash", "c", found.df.count())
+    lists = twice.groupBy(*_ROW).agg(F.collect_set(F.struct("first", "n", "hash")).alias("cands"))
     lists = Written(lists, "candidates")
-    df = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
-    texts = df.join(lists.sized(), "id").select("id", units_of(F.col("t")).alias("u"), "cands")
+    texts = _rows(docs, id_col, text_col).join(lists.sized(), _ROW).select(*_ROW, units_of(F.col("t"), long_line).alias("u"), "cands")
     chunk = lambda c: F.array_join(F.slice("u", c["first"] + 1, c["n"]), "")
-    texts = texts.select("id", F.inline(F.transform("cands", lambda c: F.struct(c["first"].alias("first"), c["n"].alias("n"), c["hash"].alias("hash"), chunk(c).alias("chunk")))))
+    texts = texts.select(*_ROW, F.inline(F.transform("cands", lambda c: F.struct(c["first"].alias("first"), c["n"].alias("n"), c["hash"].alias("hash"), chunk(c).alias("chunk")))))
     # Grouped by the bytes themselves: partial sums first, so that a common chunk crosses the network once a task.
-    kept = texts.groupBy("hash", "chunk").agg(F.min(F.struct("id", "first", "n")).alias("k")).select("k.id", "k.first", "k.n")
-    every = lists.df.select("id", F.inline("cands")).select("id", "first", "n")
-    return every.join(kept, ["id", "first", "n"], "left_anti")
+    kept = texts.groupBy("hash", "chunk").agg(F.min(F.struct(*_ROW, "first", "n")).alias("k")).select("k.*")
+    every = lists.df.select(*_ROW, F.inline("cands")).select(*_ROW, "first", "n")
+    return every.join(kept, [*_ROW, "first", "n"], "left_anti")
 
 
 def _merged(spans: Column) -> Column:
@@ -150,11 +166,14 @@ def _merged(spans: Column) -> Column:
     return F.aggregate(spans, F.slice(spans, 1, 0), step)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int | None = None, long_line: int = LONG_LINE) -> DataFrame:
     """docs with repeated chunks taken out of the text, and repeated passages of at least so many words; all columns stay."""
-    gone = repeated_chunks(docs, id_col, text_col, words).groupBy("id").agg(F.array_sort(F.collect_set(F.struct("first", "n"))).alias("__gone"))
-    gone = Written(gone.select(F.col("id").alias("__id"), _merged(F.col("__gone")).alias("__gone")), "gone")
-    df = docs.join(gone.sized(), docs[id_col].cast("long") == F.col("__id"), "left")
+    with scratch() as keep:
+        gone = repeated_chunks(docs, id_col, text_col, words, long_line).groupBy(*_ROW).agg(F.array_sort(F.collect_set(F.struct("first", "n"))).alias("__gone"))
+        gone = Written(gone.select(F.col("id").alias("__id"), F.col("key").alias("__key"), _merged(F.col("__gone")).alias("__gone")), "gone")
+        keep(gone)
+    same = (docs[id_col].cast("long") == F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__key"))
+    df = docs.join(gone.sized(), same, "left")
 
     def rest(units: Column) -> Column:
         starts = F.concat(F.array(F.lit(0)), F.transform("__gone", lambda g: g["first"] + g["n"]))
@@ -162,7 +181,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         parts = F.transform(F.arrays_zip(starts.alias("a"), ends.alias("z")), lambda p: F.slice(units, p["a"] + 1, p["z"] - p["a"]))
         return F.array_join(F.flatten(parts), "")
 
-    new = F.get(F.transform(F.array(units_of(F.col(text_col))), rest), F.lit(0))
+    new = F.get(F.transform(F.array(units_of(F.col(text_col), long_line)), rest), F.lit(0))
     text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(new)
     return df.select(*(text.alias(c) if c == text_col else docs[c] for c in docs.columns))
 
@@ -180,7 +199,7 @@ def query(docs: DataFrame) -> DataFrame:
 def oracle_sql() -> str:
     num = lambda s, n: f"('0x' || substr(md5({s}), 1, {n}))::BIGINT"
     return rf"""
-    WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{UNIT}') AS u FROM documents),
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS t, flatten([CASE WHEN length(l) > {LONG_LINE} THEN regexp_extract_all(l, '{SENTENCE}') ELSE [l] END FOR l IN regexp_extract_all(coalesce(text, ''), '{LINE}')]) AS u FROM documents),
     x AS (SELECT doc_id, i, u[i] AS s, {num("u[i]", 8)} AS h FROM (SELECT doc_id, u, unnest(range(1, len(u) + 1)) AS i FROM d)),
     r AS (SELECT *, (h * 31 + coalesce(lag(h) OVER w, 0) * 17) % 1000003 AS r FROM x WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
     b AS (SELECT *, coalesce(r > lag(r) OVER w AND r > lead(r) OVER w, false)::INT AS b FROM r WINDOW w AS (PARTITION BY doc_id ORDER BY i)),

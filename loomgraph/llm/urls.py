@@ -4,9 +4,10 @@ Labelled page outcomes (1: bad) are counted by host. The rate of a suffix is
 shrunk to the rate of all pages, that of a registered domain to its suffix, that
 of a host to its domain, each through a beta prior whose strength is fitted by
 moments at its level. A page is blocked if the lower bound of its host's
-posterior, mean less Z standard deviations, is above a limit. Simplified: the
-registered domain is a host's last two labels and the suffix its last one, so
-under suffixes such as co.uk all sites share one domain.
+posterior, mean less Z standard deviations, is above a limit. A host's suffix is
+the longest of SUFFIXES, a parameter, that it ends in, else its last label; its
+registered domain has one label more. An address of numbers is its own domain
+and suffix, and so is a host that has no label before its suffix.
 
 Defined cases: a null url, or one without "://", has an empty host and path and
 so is judged like any host. A null outcome is not counted. Hosts without
@@ -19,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.llm.common import BROADCAST_BYTES, Written, by_frequent_key, scratch
+
 #: (host, path prefix, verdict); a rule fits its host and all subdomains, the longest wins.
 RULES = (
     ("org", "/", "allow"),
@@ -33,8 +36,11 @@ LIMIT, Z = 0.1, 1.0
 STRENGTH = (2.0, 200.0)
 #: A page is bad if at least this share of its words end in doubled marks, as junk does.
 JUNK = 0.2
-#: Parts that a host's rows are dealt into, so that no host fills one task.
-SALT = 32
+#: Suffixes of more than one label under which sites are registered: a list of common ones; pass a fuller one where it matters.
+SUFFIXES = (
+    "ac.uk", "co.uk", "gov.uk", "org.uk", "com.au", "net.au", "org.au", "co.nz", "co.jp", "ne.jp", "or.jp", "co.kr", "com.cn",
+    "com.br", "com.mx", "com.ar", "com.tr", "co.in", "co.za", "com.sg", "com.hk", "com.tw", "github.io", "blogspot.com",
+)
 
 
 def host_of(url: Column) -> Column:
@@ -59,12 +65,22 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
-def domain_of(host: Column) -> Column:
-    return F.substring_index(host, ".", -2)
+_ADDRESS = r"^[0-9]+(\.[0-9]+){3}(:[0-9]+)?$|^\[.*\](:[0-9]+)?$"
+
+
+def suffix_of(host: Column, suffixes=SUFFIXES) -> Column:
+    name = F.regexp_replace(host, ":[0-9]+$", "")
+    out = F.substring_index(name, ".", -1)
+    for s in sorted(suffixes, key=len):
+        out = F.when((name == s) | name.endswith("." + s), s).otherwise(out)
+    return F.when(host.rlike(_ADDRESS), host).otherwise(out)
 
 
-def suffix_of(host: Column) -> Column:
-    return F.substring_index(host, ".", -1)
+def domain_of(host: Column, suffixes=SUFFIXES) -> Column:
+    name, suffix = F.regexp_replace(host, ":[0-9]+$", ""), suffix_of(host, suffixes)
+    before = name.substr(F.lit(1), F.length(name) - F.length(suffix) - 1)
+    own = F.concat(F.substring_index(before, ".", -1), F.lit("."), suffix)
+    return F.when(host.rlike(_ADDRESS), host).when(name == suffix, name).otherwise(own)
 
 
 def junk_outcome(html: Column) -> Column:
@@ -96,10 +112,10 @@ def _shrunk(level: DataFrame, parent_rate: str, z_columns: list[str]) -> DataFra
     return out.select(*z_columns, F.round(rate, 9).alias("rate"), F.sqrt(rate * (1 - rate) / (t + 1)).alias("sd"))
 
 
-def reputation(outcomes: DataFrame, z: float = Z, limit: float = LIMIT) -> DataFrame:
+def reputation(outcomes: DataFrame, z: float = Z, limit: float = LIMIT, suffixes=SUFFIXES) -> DataFrame:
     """(host, n, bad, rate, lower, blocked) from outcomes(host, bad)."""
     hosts = outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-    hosts = hosts.withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))})
+    hosts = hosts.withColumns({"domain": domain_of(F.col("host"), suffixes), "suffix": suffix_of(F.col("host"), suffixes)})
     total = hosts.agg(F.expr("coalesce(round(sum(bad) / nullif(sum(n), 0), 9), 0.0)").alias("parent"))
     suffixes = hosts.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = _shrunk(suffixes.withColumn("parent", total.scalar()), "parent", ["suffix"]).select("suffix", F.col("rate").alias("parent"))
@@ -114,10 +130,16 @@ def judge(pages: DataFrame, outcomes: DataFrame, id_col: str = "page_id", url_co
     """(id, host, path, rule, verdict) for every row of pages."""
     df = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("__url"))
     df = df.select("id", F.coalesce(host_of(F.col("__url")), F.lit("")).alias("host"), F.coalesce(path_of(F.col("__url")), F.lit("")).alias("path"))
-    df = df.withColumns({"__rule": rule_of(F.col("host"), F.col("path"), rules), "__salt": F.pmod(F.xxhash64("id", "path"), F.lit(SALT))})
-    known = reputation(outcomes).select("host", "blocked")
-    known = known.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))))
-    out = df.join(known, ["host", "__salt"], "left")
+    df = df.withColumn("__rule", rule_of(F.col("host"), F.col("path"), rules))
+    sizes = df.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    known = reputation(outcomes).select("host", "blocked").join(sizes, "host")
+    with scratch() as keep:
+        known = Written(known, "hosts")
+        keep(known)
+    if known.bytes() <= BROADCAST_BYTES:
+        out = df.join(F.broadcast(known.df.drop("pages")), "host", "left")
+    else:
+        out = by_frequent_key(df, known.df, "host", "pages", df.count(), "left")
     own = F.when(F.coalesce(F.col("blocked"), F.lit(False)), "block").otherwise("allow")
     return out.select("id", "host", "path", F.col("__rule.rule").alias("rule"), F.coalesce(F.col("__rule.verdict"), own).alias("verdict"))
 

@@ -33,3 +33,22 @@ def test_hot_host_and_unknown(spark):
     rows = ["http://hot.net/x"] * 500 + ["http://cold.net/"]
     got = judged(spark, rows, [("hot.net", 1)] * 50 + [("ok.net", 0)] * 500)
     assert len(got) == 501 and got[0]["verdict"] == "block" and got[500]["verdict"] == "allow"
+
+
+def test_suffixes_and_domains(spark):
+    rows = {
+        "a.bbc.co.uk": ("co.uk", "bbc.co.uk"), "co.uk": ("co.uk", "co.uk"), "10.0.0.1": ("10.0.0.1",) * 2, "10.0.0.1:80": ("10.0.0.1:80",) * 2,
+        "x.example.com": ("com", "example.com"), "example.com:8080": ("com", "example.com"), "localhost": ("localhost",) * 2, "": ("", ""), "me.github.io": ("github.io", "me.github.io"),
+    }
+    df = spark.createDataFrame([(h,) for h in rows], "host string")
+    got = {r["host"]: (r["s"], r["d"]) for r in df.select("host", urls.suffix_of(df.host).alias("s"), urls.domain_of(df.host).alias("d")).collect()}
+    assert got == rows
+
+
+def test_a_hot_host_by_either_join(spark, monkeypatch):
+    rows = [(i, f"http://h{i % 7 if i % 3 else 0}.net/{i}", "x") for i in range(3000)] + [(None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, host string")
+    outcomes = pages.selectExpr("coalesce(regexp_extract(url, '://([^/]*)', 1), '') AS host", "page_id % 2 AS bad")
+    want = sorted(map(str, urls.judge(pages, outcomes).collect()))
+    monkeypatch.setattr(urls, "BROADCAST_BYTES", 0)
+    assert sorted(map(str, urls.judge(pages, outcomes).collect())) == want and len(want) == 3001

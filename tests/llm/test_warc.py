@@ -1,3 +1,4 @@
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomgraph.llm import warc
@@ -29,5 +30,31 @@ def test_records_and_edges(spark):
 
 def test_tree_root_depends_on_order(spark):
     a = warc.records(pages(spark, 20))
-    t = warc.tree(a)
+    t = warc.tree(a, 2)
     assert t.groupBy("level").count().count() == 3 and t.where("level = 2").count() == 1
+    swapped = a.withColumn("offset", F.max("offset").over(Window.partitionBy("file")) - F.col("offset"))
+    roots = [x.where("level = 2").first()["hash"] for x in (t, warc.tree(swapped, 2))]
+    assert roots[0] != roots[1]
+
+
+def test_only_children_of_differing_nodes_meet(spark):
+    a = warc.records(pages(spark, 300))
+    t = warc.tree(a, 3).persist()
+    plan = warc.differing(t, t, 1, spark.createDataFrame([(0, 0, 0)], "file long, piece long, up long"))
+    lines = plan._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    full = next(i for i, x in enumerate(lines) if "Join FullOuter" in x)
+    semi = [i for i, x in enumerate(lines) if "Join LeftSemi" in x]
+    assert len(semi) == 2 and all(i > full and depth(lines[i]) > depth(lines[full]) for i in semi)
+
+
+def test_a_hot_id_is_dealt_into_pieces(spark):
+    rows = [(5, "u", "same")] * 3000 + [(5, "u", f"b{i}") for i in range(1500)] + [(i, "v", "x") for i in range(1000, 1300)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    a = warc.records(df).persist()
+    sizes = [r["count"] for r in a.groupBy("file", "piece").count().collect()]
+    assert sum(sizes) == 4800 and max(sizes) <= 8 * warc.RECORDS and a.where("piece > 0").count() == 4500
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, warc.records(df.repartition(7)).collect()))
+    assert warc.audit(a, a).count() == 0
+    b = a.where("NOT (id = 5 AND offset = 0 AND piece = 1)")
+    assert {r["piece"] for r in warc.audit(a, b).collect()} == {1}
