@@ -1,22 +1,23 @@
 """Quality by importance resampling: target over raw n-gram models, Gumbel top-k.
 
-A document's features are its different words and pairs of neighbouring words,
-and how large a share of its words carry each kind of mark or repeat the word
-before, all hashed to buckets; each counts once a document, so that one long
-text cannot speak for many. Counts over all documents are the raw model; counts
-over accepted labelled documents, of at most TARGET_ROWS labelled rows, are the
-target model, smoothed towards the raw one. A document's log weight is the sum
-of its features' log ratios, the target's counts taken as high as chance allows
-(SIGMAS), but for those of features about as common in both models (under CUT)
-and of those commoner in the target, as copies are: no document gains by them.
-How many documents to take, k, is the number whose weight reaches a threshold
-that separates a held-out fifth of the labelled rows best; the k with the
-largest weight plus Gumbel noise, seeded by id, are drawn.
-
-Defined cases: null and empty texts have no features and weight zero. Rows that
-repeat an id share one noise value; all rows of a drawn id and weight are drawn.
-A null id is never drawn. Without labelled rows of both kinds all documents are
-drawn. An empty table gives no rows. Only the named columns are read.
+A text's n-grams are its words without the marks around them, its pairs of
+neighbouring words and the marks of each word, all hashed to buckets. Counts over
+all documents make the raw model; counts over accepted labelled documents, of at
+most TARGET_ROWS labelled rows, make the target model. A bucket's log ratio is
+log(p_target / p_raw), of either sign, with SMOOTH pseudo-counts that follow the
+raw model, times the chance that the models differ there at all: the logistic of
+half the G statistic of the bucket's numbers of texts less EVIDENCE, since texts
+of rare words would else gather chance alone. A document's log weight is the sum
+over its n-grams, each as often as it occurs. How many documents to take, k, is
+the number whose weight reaches the threshold that separates a held-out fifth of
+the labelled rows best; the k rows with the largest log weight over TEMPERATURE
+plus Gumbel noise are drawn, which samples without replacement by weight.
+
+Defined cases: null and empty texts have no n-grams and log weight zero. Each
+row is drawn by itself; its noise is seeded by its id and text, so equal rows
+share their fate, and rows of one id with other texts, or with a null id, do not.
+Without labelled rows of both kinds all documents are drawn. An empty table
+gives no rows. Only the named columns are read.
 """
 from __future__ import annotations
 
@@ -26,18 +27,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from loomgraph.llm.common import Written, strings, worker_state
+from loomgraph.llm.common import Written, scratch, strings, worker_state
 
 #: Labelled rows used at most: those with the smallest hash of their id.
 TARGET_ROWS = 40_000
-#: Buckets of words with their marks, and of pairs.
-WORDS, PAIRS = 1 << 19, 1 << 18
-#: Pseudo-counts, the least log ratio that counts, the standard deviations (of words, of pairs) by which the target's
-#: count may be too low by chance, and what weights are divided by before noise is added.
-SMOOTH, CUT, SIGMAS, TEMPERATURE = 1.0, 0.5, (2.4, 4.0), 0.25
-#: Steps in which shares are told apart.
-LEVELS = 8
+#: Buckets of words, of pairs and of marks.
+WORDS, PAIRS, MARKS = 1 << 19, 1 << 18, 1 << 10
+#: Where each kind of bucket ends.
+_ENDS = (WORDS, WORDS + PAIRS, WORDS + PAIRS + MARKS)
+#: Pseudo-counts, evidence at which a difference is as likely as not, and what log weights are divided by before noise is added.
+SMOOTH, EVIDENCE, TEMPERATURE = 4.0, 8.0, 0.5
 #: Tokens that a worker's table keeps.
 KEPT = 200_000
 #: Values of one histogram when the k-th largest key is looked for.
@@ -47,84 +48,87 @@ _MARKS = ".,;:!?%$#*&|()[]{}\"'-_/\\<>=+~`^@…–—«»“”¿¡"
 
 
 class Codes(dict):
-    """token: its core's hash above its marks' hash."""
+    """token: the hash of its core above that of its marks."""
 
     def __missing__(self, token: str) -> int:
         if len(self) >= KEPT:
             self.clear()
         core = token.strip(_MARKS)
-        marks = token.replace(core, "", 1) if core and core != token else ""
-        code = zlib.crc32((core or token).encode("utf-8", "replace")) << 20
-        if marks:
-            code |= zlib.crc32(marks.encode("utf-8", "replace")) & 0xFFFFF | 1
+        marks = token.replace(core, "", 1) if core else token
+        code = zlib.crc32((core or token).encode("utf-8", "replace")) << 16 | zlib.crc32(marks.encode("utf-8", "replace")) & 0xFFFF
         if len(token) <= 64:
             self[token] = code
         return code
 
 
 def buckets(text: str, codes: Codes) -> np.ndarray:
-    """The buckets of a text's features; pairs follow the words' and shares' buckets."""
+    """The bucket of each n-gram of a text, repeats included; pairs' follow the words', marks' the pairs'."""
     tokens = text.lower().split()
-    n = len(tokens)
-    code = np.fromiter(map(codes.__getitem__, tokens), np.int64, n)
-    core, marks = (code >> 20).astype(np.uint64), (code & 0xFFFFF).astype(np.uint64)
+    code = np.fromiter(map(codes.__getitem__, tokens), np.int64, len(tokens))
+    core, marks = (code >> 16).astype(np.uint64), code & (MARKS - 1)
     mix, down = np.uint64(0x9E3779B97F4A7C15), np.uint64(40)
     word = (core * mix >> down) & np.uint64(WORDS - 1)
-    kinds, times = np.unique(marks[marks > 0], return_counts=True)
-    a, b = core[:-1], core[1:]
-    kinds = np.append(kinds, np.uint64(0))  # 0: words that repeat the word before
-    times = np.append(times, np.count_nonzero(a == b))
-    level = (times * LEVELS // max(1, n)).astype(np.uint64)
-    share = (((kinds + np.uint64(1 << 40)) * np.uint64(LEVELS + 1) + level) * mix >> down) & np.uint64(WORDS - 1)
-    pair = ((a * np.uint64(0x85EBCA77C2B2AE63) + b) * mix >> down) & np.uint64(PAIRS - 1)
-    return np.unique(np.concatenate([word, share[times > 0], pair[a != b] + np.uint64(WORDS)])).astype(np.int64)
+    pair = ((core[:-1] * np.uint64(0x85EBCA77C2B2AE63) + core[1:]) * mix >> down) & np.uint64(PAIRS - 1)
+    return np.concatenate([word.astype(np.int64), pair.astype(np.int64) + WORDS, marks + _ENDS[1]])
 
 
-def _counts(texts: DataFrame) -> tuple[np.ndarray, int]:
-    """Texts that have each bucket, and all texts: one row a task and bucket, then sums."""
+def _counts(texts: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """(occurrences, texts that have it) of each bucket, and all texts: one row a task and bucket, then sums."""
 
     def run(batches):
         codes = worker_state("codes", Codes)
-        total = np.zeros(WORDS + PAIRS + 1, np.int64)
+        size = _ENDS[2] + 1
+        total, seen = np.zeros(size, np.int64), np.zeros(size, np.int64)
         for b in batches:
             total[-1] += b.num_rows
-            held, size = [], 0
+            held, once, n = [], [], 0
+
+            def add():
+                if held:
+                    total[:] += np.bincount(np.concatenate(held), minlength=size)
+                    seen[:] += np.bincount(np.concatenate(once), minlength=size)
+
             for t in strings(b.column(0)):
-                held.append(buckets(t, codes))
-                size += len(held[-1])
-                if size > 1 << 20:
-                    total += np.bincount(np.concatenate(held), minlength=len(total))
-                    held, size = [], 0
-            if held:
-                total += np.bincount(np.concatenate(held), minlength=len(total))
+                x = buckets(t, codes)
+                held.append(x)
+                once.append(np.unique(x))
+                n += len(x)
+                if n > 1 << 20:
+                    add()
+                    held, once, n = [], [], 0
+            add()
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["bucket", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at]), pa.array(seen[at])], names=["bucket", "n", "texts"])
 
-    rows = texts.mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(WORDS + PAIRS + 1, np.int64)
-    out[rows.column("bucket").to_numpy()] = rows.column("n").to_numpy()
-    return out[:-1], int(out[-1])
+    rows = texts.mapInArrow(run, "bucket int, n long, texts long").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts")).toArrow()
+    out = np.zeros((2, _ENDS[2] + 1), np.int64)
+    out[:, rows.column("bucket").to_numpy()] = rows.column("n").to_numpy(), rows.column("texts").to_numpy()
+    return out[0, :-1], out[1, :-1], int(out[0, -1])
 
 
-def log_ratios(raw: np.ndarray, target: np.ndarray, share: float) -> np.ndarray:
-    """The log ratio of each bucket, 0 where it says too little. share: of the documents that are targets."""
-    sigmas = np.repeat(SIGMAS, (WORDS, PAIRS))
-    highest = target + SMOOTH + sigmas * np.sqrt(target + SMOOTH)
-    x = np.log(highest / (raw * share + SMOOTH))
-    return np.where(x <= -CUT, x, 0).astype(np.float32)
+def log_ratios(raw: np.ndarray, target: np.ndarray, raw_texts: np.ndarray, target_texts: np.ndarray, share: float) -> np.ndarray:
+    """The log ratio of each bucket. share: of the documents that are targets."""
+    out = np.zeros(len(raw))
+    for a, z in zip((0, *_ENDS), _ENDS, strict=False):
+        r, t = raw[a:z], target[a:z]
+        ratio = np.log((t + SMOOTH) / (r * (t.sum() / max(1, r.sum())) + SMOOTH))
+        expected, found = np.maximum(raw_texts[a:z] * share, 1e-9), target_texts[a:z]
+        g = 2 * (np.where(found > 0, found * np.log(np.maximum(found, 1) / expected), 0) - (found - expected))
+        out[a:z] = ratio / (1 + np.exp(np.minimum((EVIDENCE - g) / 2, 700)))
+    return out.astype(np.float32)
 
 
-def _weights(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
-    """(id, weight)."""
-    sent = docs.sparkSession.sparkContext.broadcast(ratios)
+def _scored(docs: DataFrame, ratios: np.ndarray, text_col: str) -> DataFrame:
+    """docs with __weight, the log weight of each row's text."""
+    sent, place = docs.sparkSession.sparkContext.broadcast(ratios), docs.columns.index(text_col)
 
     def run(batches):
         codes, r = worker_state("codes", Codes), sent.value
         for b in batches:
-            w = [float(r[buckets(t, codes)].sum(dtype=np.float64)) for t in strings(b.column(1))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.round(w, 6), pa.float64())], names=["id", "weight"])
+            w = [float(r[buckets(t, codes)].sum(dtype=np.float64)) for t in strings(b.column(place))]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.round(w, 6), pa.float64())], names=[*b.schema.names, "__weight"])
 
-    return docs.mapInArrow(run, "id long, weight double")
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__weight", T.DoubleType())]))
 
 
 def threshold(weights: np.ndarray, good: np.ndarray) -> float:
@@ -160,6 +164,40 @@ def kth_largest(keys: DataFrame, k: int) -> float:
         low, high = r["a"], r["z"]
 
 
+def gumbel(seed):
+    """Standard Gumbel noise, a function of the seed, which is a long."""
+    uniform = (F.pmod(F.xxhash64(seed, F.lit(42)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    return -F.log(-F.log(uniform))
+
+
+def _drawn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, target_rows: int, temperature: float, only: list[str] | None = None) -> DataFrame:
+    """The rows drawn, with the columns of docs, or only those, and __weight. What is scored is written once, with its weight, and then filtered."""
+    with scratch() as keep:
+        id_ = F.col(id_col).cast("long").alias("id")
+        known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("id"))
+        known = known.agg(F.min((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).alias("good"))
+        known = known.orderBy(F.xxhash64("id"), "id").limit(target_rows)  # the documented bound
+        known = Written(known.withColumn("fit", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(5)) > 0), "labels").df
+        texts = docs.select(id_, F.col(text_col).alias("text"))
+        target = texts.join(F.broadcast(known.where("fit AND good").select("id")), "id", "left_semi").select("text")
+        raw, raw_texts, n = _counts(texts.select("text"))
+        wanted, wanted_texts, m = _counts(target)
+        scored = _scored(docs, log_ratios(raw, wanted, raw_texts, wanted_texts, m / max(1, n)), text_col)
+        scored = scored.withColumn("__noise", gumbel(F.xxhash64(id_, F.xxhash64(text_col))))
+        scored = Written(scored.select(*(only or docs.columns), "__weight", "__noise"), "scored")
+        keep(scored)
+        all_, scored = scored.df.drop("__noise"), scored.df
+        held = scored.select(id_, F.col("__weight").alias("weight")).join(F.broadcast(known.where("NOT fit")), "id").select("weight", "good").toPandas()
+        good = held["good"].to_numpy(bool)
+        if not good.any() or good.all():
+            return all_
+        k = scored.where(F.col("__weight") >= threshold(held["weight"].to_numpy(float), good)).count()
+        if not k:
+            return all_.limit(0)
+        key = F.col("__weight") / temperature + F.col("__noise")
+        return scored.where(key >= kth_largest(scored.select(key.alias("key")), k)).drop("__noise")
+
+
 def resample(
     docs: DataFrame,
     labels: DataFrame,
@@ -168,30 +206,13 @@ def resample(
     target_rows: int = TARGET_ROWS,
     temperature: float = TEMPERATURE,
 ) -> DataFrame:
-    """(id, weight) of the documents drawn. labels: doc_id, quality and toxic; accepted: quality 1 and toxic 0."""
+    """(id, weight) of the rows drawn. labels: doc_id, quality and toxic; accepted: quality 1 and toxic 0."""
     df = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("id"))
-    known = known.agg(F.min((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).alias("good"))
-    known = known.orderBy(F.xxhash64("id"), "id").limit(target_rows)  # the documented bound
-    known = Written(known.withColumn("fit", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(5)) > 0), "labels").df
-    target = df.join(F.broadcast(known.where("fit AND good").select("id")), "id", "left_semi").select("text")
-    raw, n = _counts(df.select("text"))
-    wanted, m = _counts(target)
-    scored = Written(_weights(df, log_ratios(raw, wanted, m / max(1, n))), "weights").df
-    held = scored.join(F.broadcast(known.where("NOT fit")), "id").select("weight", "good").toPandas()
-    good = held["good"].to_numpy(bool)
-    if not good.any() or good.all():
-        return scored.where("id IS NOT NULL")
-    cut = threshold(held["weight"].to_numpy(float), good)
-    uniform = (F.pmod(F.xxhash64("id", F.lit(42)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    keys = scored.where("id IS NOT NULL").withColumn("key", F.col("weight") / temperature - F.log(-F.log(uniform)))
-    k = scored.where(F.col("weight") >= cut).count()
-    if not k:
-        return scored.limit(0)
-    return keys.where(F.col("key") >= kth_largest(keys, k)).select("id", "weight")
-
-
-def keep_drawn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents drawn, with all columns of docs."""
-    drawn = resample(docs, labels, id_col, text_col).select(F.col("id").alias("__drawn")).distinct()
-    return docs.join(drawn, docs[id_col].cast("long") == drawn["__drawn"], "left_semi")
+    return _drawn(df, labels, "id", "text", target_rows, temperature, ["id"]).select("id", F.col("__weight").alias("weight"))
+
+
+def keep_drawn(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", target_rows: int = TARGET_ROWS, temperature: float = TEMPERATURE
+) -> DataFrame:
+    """The rows drawn, with all columns of docs."""
+    return _drawn(docs, labels, id_col, text_col, target_rows, temperature).drop("__weight")
