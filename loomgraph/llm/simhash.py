@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import Written, by_frequent_key, connected_components, strings
+from loomgraph.llm.common import Written, by_frequent_key, connected_components, scratch, strings
 
 #: Members of a cell that one task holds at once; larger cells are dealt into blocks of this size.
 BLOCK = 4096
@@ -130,14 +130,10 @@ def _out(rows: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
     )
 
 
-def links(distinct: DataFrame, radius: int = 4, reach: int | None = None) -> DataFrame:
-    """(a, b): links between distinct fingerprints fp that join all that differ in at most radius bits.
-
-    Points that share a cell and differ in at most reach bits, radius or more, are linked too.
-    """
+def links(distinct: DataFrame, radius: int = 4) -> DataFrame:
+    """(a, b): links between distinct fingerprints fp that join all that differ in at most radius bits."""
     spark = distinct.sparkSession
     masks = np.array(cell_masks(radius), np.uint64)
-    radius = max(radius, reach or 0)
     mixes = np.array([(2 * k + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF for k in range(len(masks))], np.uint64)
 
     def cells(batches):
@@ -232,220 +228,24 @@ def links(distinct: DataFrame, radius: int = 4, reach: int | None = None) -> Dat
     return found.union(more.select("a", "b")).distinct()
 
 
-def unlike_pairs(points: DataFrame, radius: int, reach: int) -> DataFrame:
-    """(a, b): all pairs of points (id, fp, label) of different labels that share a cell and differ in at most reach bits.
-
-    Each pair comes out once, in the first of the cells it shares. Large cells
-    are dealt into pairs of chunks.
-    """
-    parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    masks = np.array(cell_masks(radius), np.uint64)
-    blocks = np.array([sum(3 << (2 * int(s)) for s in b) for b in np.array_split(np.arange(32), radius + SHARED)], np.uint64)
-    holds = np.array([[k in c for k in range(len(blocks))] for c in combinations(range(len(blocks)), SHARED)])
-    ends = np.array([max(c) for c in combinations(range(len(blocks)), SHARED)])
-    schema = "fp long, id long, label long, kind short, cell long"
-
-    def cells(batches):
-        for b in batches:
-            for at in range(0, b.num_rows, 2048):
-                part = b.slice(at, 2048)
-                e = embed(part.column(0).to_numpy(zero_copy_only=False).view(np.uint64))[:, None] & masks[None, :]
-                rows = np.repeat(np.arange(part.num_rows), len(masks))
-                kinds = np.tile(np.arange(len(masks), dtype=np.int16), part.num_rows)
-                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(rows)) for c in part.columns), pa.array(kinds), pa.array(e.ravel().view(np.int64))], names=[f.split()[0] for f in schema.split(", ")])
-
-    def wanted(x, label, kind, chunk, own, i, j):
-        """Which of the pairs (i, j) of one cell are to come out of it."""
-        ok = (label[i] != label[j]) & (own[i] | (chunk[i] != chunk[j]))
-        i, j = i[ok], j[ok]
-        diff = embed(x[i]) ^ embed(x[j])
-        ok = (np.bitwise_count(diff) <= reach) & (np.bitwise_count(x[i] ^ x[j]) <= reach)
-        i, j, diff, kind = i[ok], j[ok], diff[ok], kind[i[ok]]
-        ok = np.ones(len(i), bool)
-        for k, mask in enumerate(blocks):
-            ok &= ((diff & mask) != 0) | holds[kind, k] | (ends[kind] < k)
-        return i[ok], j[ok]
-
-    def run(batches):
-        def flush(key, x, ids, *more, few=32, side=512):
-            starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            sizes = np.diff(np.r_[starts, len(key)])
-            of = np.repeat(sizes, sizes)
-            for s in range(1, min(few, int(sizes.max()))):
-                at = np.flatnonzero((key[s:] == key[:-s]) & (of[:-s] <= few))
-                i, j = wanted(x, *more, at, at + s)
-                yield ids[i], ids[j]
-            for k in np.flatnonzero(sizes > few):
-                for at in range(starts[k], starts[k] + sizes[k], side):
-                    end = starts[k] + sizes[k]
-                    i, j = np.meshgrid(np.arange(at, min(at + side, end)), np.arange(at + 1, end), indexing="ij")
-                    i, j = wanted(x, *more, i[i < j], j[i < j])
-                    yield ids[i], ids[j]
-
-        kept = None
-        for b in batches:
-            now = [c.to_numpy(zero_copy_only=False) for c in b.columns]
-            now[1] = now[1].view(np.uint64)
-            kept = now if kept is None else [np.concatenate(c) for c in zip(kept, now, strict=True)]
-            last = int(np.searchsorted(kept[0], kept[0][-1])) if len(kept[0]) else 0
-            if last:
-                yield from map(out, flush(*(c[:last] for c in kept)))
-                kept = [c[last:] for c in kept]
-        if kept is not None and len(kept[0]):
-            yield from map(out, flush(*kept))
-
-    def out(pair):
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(*pair)), pa.array(np.maximum(*pair))], names=["a", "b"])
-
-    dealt = points.select("fp", "id", "label").mapInArrow(cells, schema)
-    size = dealt.groupBy("kind", "cell").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
-    size = Written(size.where("low <> high").select("kind", "cell", F.ceil(F.col("n") / BLOCK).cast("int").alias("chunks")), "cells")
-    dealt = dealt.join(size.sized(), ["kind", "cell"])
-    dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("id"), "chunks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    dealt = dealt.withColumn("key", F.xxhash64("kind", "cell", F.least("chunk", "other"), F.greatest("chunk", "other")))
-    dealt = dealt.select("key", "fp", "id", "label", "kind", "chunk", (F.col("chunk") == F.col("other")).alias("own"))
-    # The points of both chunks meet; those of one chunk are compared where it meets itself.
-    both = dealt.repartition(parts, "key").sortWithinPartitions("key")
-    return both.mapInArrow(run, "a long, b long")
-
-
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4
 ) -> DataFrame:
     """(id, fp, component): component is the smallest id reachable over links of at most radius bits."""
-    fps = Written(fingerprints(docs, id_col, text_col, shingle), "fingerprints").df
-    total = fps.count()
-    distinct = Written(fps.groupBy("fp").agg(F.min("id").alias("root"), F.count(F.lit(1)).alias("copies")), "distinct").df
-    found = connected_components(links(distinct, radius))
-    member = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "root", "copies", F.coalesce("component", "fp").alias("class")
-    )
-    # A class of many fingerprints: its smallest id by partial sums, then back to its members.
-    member = Written(member, "classes").df
-    lows = Written(member.groupBy("class").agg(F.min("root").alias("component"), F.count(F.lit(1)).alias("size")), "lows").df
-    placed = by_frequent_key(member, lows, "class", "size", total).select("fp", "component", "copies")
-    return by_frequent_key(fps, Written(placed, "placed").df, "fp", "copies", total).select("id", "fp", "component")
-
-
-def shingle_set(text: str | None, shingle: int) -> np.ndarray:
-    """The different shingles of a text as sorted hashes."""
-    import xxhash
-
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if len(words) <= shingle:
-        return np.array([xxhash.xxh64_intdigest(b" ".join(words))] if words else [], np.uint64)
-    grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
-    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams), np.uint64))
-
-
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    """Of sorted sets; two empty ones are equal."""
-    if not len(a) or not len(b):
-        return float(len(a) == len(b))
-    if len(a) > len(b):
-        a, b = b, a
-    common = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
-    return common / (len(a) + len(b) - common)
-
-
-def _verified(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The edges (a, b) between texts of that similarity at least. sets: id, h."""
-
-    def run(batches):
-        for batch in batches:
-            good = [
-                jaccard(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) >= similarity
-                for x, y in zip(batch.column(2), batch.column(3), strict=True)
-            ]
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    # A node of many edges is sent to all tasks, any other meets its edges by a shuffle.
-    total = edges.count()
-    degree = edges.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
-    of_a = sets.join(degree, F.col("id") == F.col("a")).select("a", F.col("h").alias("ha"), "n")
-    held = by_frequent_key(edges, of_a, "a", "n", total)
-    degree = edges.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
-    of_b = sets.join(degree, F.col("id") == F.col("b")).select("b", F.col("h").alias("hb"), "n")
-    held = by_frequent_key(held, of_b, "b", "n", total).select("a", "b", "ha", "hb")
-    return held.mapInArrow(run, "a long, b long").distinct()
-
-
-def similar_documents(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 8, reach: int = 12
-) -> DataFrame:
-    """(id, component): near duplicates whose shingle sets have at least that Jaccard similarity.
-
-    Fingerprints give the candidates: all within radius bits, and those within
-    reach that share a cell. Each candidate link is then verified on the whole
-    texts: first each document's link to its nearest, then what still lies
-    between different components, then all pairs of texts of different components
-    in groups of fingerprints where a link failed. Texts of the same words are one node. Rows
-    that repeat an id are one node, linked if any of them is; a null id has no
-    component. An empty table gives no rows.
-    """
-
-    def run(batches):
-        import xxhash
-
-        for b in batches:
-            texts = strings(b.column(1))
-            fps = np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)
-            keys = [xxhash.xxh64_intdigest(b" ".join(t.encode("utf-8", "surrogatepass").lower().split()), 7) for t in texts]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(fps), pa.array(np.array(keys, np.uint64).view(np.int64))], names=["id", "fp", "key"]
-            )
-
-    def hashed(batches):
-        for b in batches:
-            for at in range(0, b.num_rows, 100):
-                part = b.slice(at, 100)
-                sets = [shingle_set(t, shingle).tobytes() for t in strings(part.column(1))]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], names=["id", "h"])
-
-    df = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
-    keyed = Written(df.mapInArrow(run, "id long, fp long, key long"), "keyed").df
-    total = keyed.count()
-    # Texts by fingerprint and words; then fingerprints, each with the least id of its texts.
-    texts = Written(keyed.groupBy("fp", "key").agg(F.min("id").alias("root"), F.count(F.lit(1)).alias("copies")), "texts").df
-    points = Written(texts.groupBy("fp").agg(F.min("root").alias("node"), F.count(F.lit(1)).alias("size")), "points").df
-    found = links(points, radius, reach).withColumn("bits", F.bit_count(F.col("a").bitwiseXOR(F.col("b"))))
-    ends = points.select("fp", "node")
-    found = found.join(ends.toDF("a", "na"), "a").join(ends.toDF("b", "nb"), "b").select("na", "nb", "bits")
-    same = by_frequent_key(texts, points, "fp", "size", total).select(F.col("root").alias("na"), F.col("node").alias("nb"), F.lit(0).alias("bits"))
-    found = found.union(same).where("na <> nb").select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"), "bits")
-    edges = Written(found.groupBy("a", "b").agg(F.min("bits").alias("bits")), "candidates").df
-    both = edges.union(edges.select("b", "a", "bits"))
-    nodes = Written(both.groupBy("a").agg(F.min(F.struct("bits", "b")).alias("best")).select(F.col("a").alias("id"), F.col("best.b").alias("other")), "nodes")
-    near = nodes.df.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
-    chosen = Written(nodes.df.select("id"), "chosen").sized()
-    sets = Written(df.join(chosen, "id", "left_semi").mapInArrow(hashed, "id long, h binary"), "sets").df
-    good = Written(_verified(Written(near, "near").df, sets, similarity), "good").df
-    label = connected_components(good)
-    rest = edges.join(near, ["a", "b"], "left_anti").select("a", "b")
-    for end in "ab":
-        rest = rest.join(label.select(F.col("node").alias(end), F.col("component").alias(f"c{end}")), end, "left")
-    rest = rest.where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
-    good = Written(good.union(_verified(Written(rest, "rest").df, sets, similarity)), "good").df
-    label = connected_components(good)
-    # The candidates are a forest, so where one failed its ends' neighbours were perhaps never compared: in groups of
-    # fingerprints that did not become one, all texts of different components are candidates.
-    group = connected_components(edges.select("a", "b")).toDF("root", "group").join(label.toDF("root", "label"), "root", "left")
-    group = Written(group.select("root", "group", F.coalesce("label", "root").alias("label")), "groups").df
-    broken = group.groupBy("group").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("group")
-    loose = group.join(Written(broken, "broken").sized(), "group", "left_semi").join(texts, "root").select("fp", F.col("root").alias("id"), "label")
-    missed = unlike_pairs(Written(loose, "loose").df, radius, reach).join(edges, ["a", "b"], "left_anti")
-    label = connected_components(good.union(_verified(Written(missed, "missed").df, sets, similarity)))
-    placed = texts.join(label.withColumnRenamed("node", "root"), "root", "left")
-    placed = Written(placed.select("fp", "key", F.coalesce("component", "root").alias("component"), "copies"), "placed").df
-    keyed = keyed.withColumn("text", F.struct("fp", "key"))
-    return by_frequent_key(keyed, placed.select(F.struct("fp", "key").alias("text"), "component", "copies"), "text", "copies", total).select("id", "component")
-
-
-def keep_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents whose id is the smallest of its group of similar_documents, with all columns of docs."""
-    found = similar_documents(docs, id_col, text_col, **options)
-    kept = found.where("id = component").select(F.col("id").alias("__kept")).distinct()
-    return docs.join(kept, docs[id_col].cast("long") == kept["__kept"], "left_semi")
+    with scratch() as keep:
+        fps = Written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+        total = fps.df.count()
+        distinct = Written(fps.df.groupBy("fp").agg(F.min("id").alias("root"), F.count(F.lit(1)).alias("copies")), "distinct").df
+        found = connected_components(links(distinct, radius))
+        member = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").select(
+            "fp", "root", "copies", F.coalesce("component", "fp").alias("class")
+        )
+        # A class of many fingerprints: its smallest id by partial sums, then back to its members.
+        member = Written(member, "classes").df
+        lows = Written(member.groupBy("class").agg(F.min("root").alias("component"), F.count(F.lit(1)).alias("size")), "lows").df
+        placed = Written(by_frequent_key(member, lows, "class", "size", total).select("fp", "component", "copies"), "placed")
+        keep(fps, placed)
+    return by_frequent_key(fps.df, placed.df, "fp", "copies", total).select("id", "fp", "component")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:

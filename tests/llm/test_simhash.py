@@ -91,90 +91,3 @@ def test_long_chain_of_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001), (7, 7)], "a long, b long")
     got = {r["node"]: r["component"] for r in connected_components(edges).collect()}
     assert all(got[i] == 0 for i in range(301)) and got[1001] == 1000 and len(got) == 303
-
-
-def test_similar_documents_against_brute_force(spark):
-    rng = np.random.default_rng(9)
-    rows = [(None, "no id"), (900, None), (901, ""), (902, "  \n"), (903, "Short text"), (904, "short  TEXT"), (905, "w " * 30_000)]
-    for base in range(40):
-        words = [f"w{x}" for x in rng.integers(0, 3000, int(rng.integers(60, 400)))]
-        rows.append((len(rows) * 3, " ".join(words)))
-        for _ in range(int(rng.integers(0, 4))):
-            new = [w if rng.random() > rng.choice([0.005, 0.02, 0.05]) else f"v{rng.integers(0, 99)}" for w in words]
-            rows.append((len(rows) * 3, " ".join(new)))
-    rows.append((rows[-1][0], rows[-1][1]))
-    docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, component int")
-    ids = sorted({i for i, _ in rows if i is not None})
-    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for i, t in rows if i is not None}
-    fps = {i: simhash.fingerprint(t, 5) for i, t in rows if i is not None}
-    alike = lambda a, b: a == b or len(a & b) >= 0.8 * len(a | b)
-
-    def groups(linked):
-        label = {i: i for i in ids}
-        for _ in ids:
-            for i in ids:
-                for j in ids:
-                    if linked(i, j):
-                        label[i] = label[j] = min(label[i], label[j])
-            if all(label[i] == label[j] for i in ids for j in ids if linked(i, j)):
-                return label
-
-    pairs = {(i, j): (fps[i] ^ fps[j]).bit_count() for i in ids for j in ids if alike(sets[i], sets[j])}
-    most, least = groups(lambda i, j: (i, j) in pairs), groups(lambda i, j: pairs.get((i, j), 99) <= 8)
-    found = simhash.similar_documents(docs)
-    got = {r["id"]: r["component"] for r in found.collect()}
-    assert set(got) == set(ids) and found.count() == len(rows) - 1
-    assert all(got[i] == got[least[i]] for i in ids)  # all within the radius
-    assert all(most[i] == most[got[i]] for i in ids)  # nothing below the similarity
-    assert got[902] == 900 and got[904] == 903 and got[905] == 905
-    kept = simhash.keep_similar(docs)
-    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {i for i in ids if got[i] == i}
-    assert simhash.similar_documents(docs.limit(0)).count() == 0
-
-
-def test_similar_in_a_family_of_hundreds(spark):
-    rng = np.random.default_rng(4)
-    base = [f"w{x}" for x in rng.integers(0, 3000, 400)]
-    texts = []
-    for _ in range(120):
-        at = set(rng.choice(400, 9, replace=False).tolist())
-        cousin = [f"v{rng.integers(0, 10**6)}" if k in at else w for k, w in enumerate(base)]
-        at = set(rng.choice(400, 4, replace=False).tolist())
-        texts += [cousin, [f"u{rng.integers(0, 10**6)}" if k in at else w for k, w in enumerate(cousin)]]
-    rng.shuffle(texts := [" ".join(t) for t in texts])
-    texts = [str(t) for t in texts]
-    sets = [simhash.shingle_set(t, 5) for t in texts]
-    fps = np.array([simhash.fingerprint(t, 5) for t in texts], np.uint64)
-    label = np.arange(len(texts))
-    alike = [(i, j) for i in range(len(texts)) for j in range(i) if simhash.jaccard(sets[i], sets[j]) >= 0.8]
-    found = simhash.similar_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
-    got = {r["id"]: r["component"] for r in found.collect()}
-    near = [(i, j) for i, j in alike if int(fps[i] ^ fps[j]).bit_count() <= 8]
-    assert len(near) > 60 and len(set(got.values())) > 60
-    assert all(got[i] == got[j] for i, j in near)
-    for _ in range(len(texts)):  # the groups of all pairs that are alike: nothing more may be joined
-        for i, j in alike:
-            label[i] = label[j] = min(label[i], label[j])
-    assert all(label[i] == label[c] for i, c in got.items())
-
-
-def test_unlike_texts_of_one_fingerprint(spark):
-    pad = "x " * 3000
-    words = lambda c, n: [f"{c}{k}" for k in range(n)]
-    b = words("b", 500)
-    rows = [(1, pad + " ".join(words("a", 500))), (2, pad + " ".join(b)), (3, pad + " ".join([*b[:490], *words("z", 10)])), (4, pad + " ".join(words("c", 500)))]
-    assert len({simhash.fingerprint(t, 5) for _, t in rows}) == 1
-    found = simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert {r["id"]: r["component"] for r in found.collect()} == {1: 1, 2: 2, 3: 2, 4: 4}
-
-
-@pytest.mark.parametrize("block", [4096, 7])
-def test_unlike_pairs_against_brute_force(spark, monkeypatch, block):
-    monkeypatch.setattr(simhash, "BLOCK", block)
-    rng = np.random.default_rng(6)
-    x = [int(s) ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 6), replace=False)) for s in rng.integers(0, 1 << 63, 5) for _ in range(40)]
-    rows = [(int(np.uint64(v).view(np.int64)), i, int(rng.integers(0, 3))) for i, v in enumerate(x)]
-    got = [(r["a"], r["b"]) for r in simhash.unlike_pairs(spark.createDataFrame(rows, "fp long, id long, label long"), 8, 12).collect()]
-    e, masks = simhash.embed(np.array(x, np.uint64)), np.array(simhash.cell_masks(8), np.uint64)
-    want = {(i, j) for j in range(len(x)) for i in range(j) if rows[i][2] != rows[j][2] and (x[i] ^ x[j]).bit_count() <= 12 and (((e[i] ^ e[j]) & masks) == 0).any()}
-    assert len(got) == len(set(got)) and set(got) == want
