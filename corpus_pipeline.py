@@ -4,8 +4,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import decontaminate, linededup, pieces, resample, simhash
-from loomgraph.llm.common import Written
+from loomgraph.llm import decontaminate, linededup, pieces, resample, similar
+from loomgraph.llm.common import Written, release
 from loomgraph.llm.queries import tokenizer
 
 
@@ -15,14 +15,14 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes repeated chunks of lines, and repeated passages of 50 words or more, out of the texts."""
-    out = linededup.remove_repeats(docs, words=50)
+    """Takes repeated chunks of lines, and repeated passages of 50 words or more, out of the texts. Units are sentences throughout, as passages may begin within a line."""
+    out = linededup.remove_repeats(docs, words=50, long_line=0)
     return out.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near duplicates: shingles of five words, a similarity of 0.8 or more."""
-    return simhash.keep_similar(docs, shingle=5, similarity=0.8)
+    return similar.keep_similar(docs, shingle=5, similarity=0.8)
 
 
 def decontaminate_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,10 +51,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each stage's table is written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    written = None
     for name, stage in STAGES:
         after = Written(stage(spark, docs, sf_dir), name)
-        if written is not None:
-            written.drop()
-        written, docs = after, after.df
+        release(after)  # what the stage wrote on its way, and the table before
+        docs = after.df
     return docs
