@@ -12,7 +12,7 @@ stays and the others are removed.
 Chunks alone miss most passages that stand between other text. With words set,
 the runs of units that just reach that many words (from each unit onwards, and
 from each unit back; a unit counts one word at least) are held against each other
-like the chunks. Every run of whole units with that many words or more is covered
+like the chunks, but by SHA-256, as they overlap. Every run of whole units with that many words or more is covered
 by them from end to end, so it goes wherever it stood before, be it a single long
 unit; what is removed has an equal unit at an earlier place that stays.
 
@@ -114,8 +114,11 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select("id", F.xxhash64("t").alias("key"), "t")
 
 
-def chunks(docs: DataFrame, id_col: str, text_col: str, words: int | None = None, long_line: int = LONG_LINE) -> DataFrame:
-    """(id, key, first, n, hash) of the chunks of MIN_UNITS units or more and, with words, of the runs that just reach them."""
+def chunks(docs: DataFrame, id_col: str, text_col: str, words: int | None = None, long_line: int = LONG_LINE, digest: bool = False) -> DataFrame:
+    """(id, key, first, n, hash) of the chunks of MIN_UNITS units or more and, with words, of the runs that just reach them.
+
+    With digest also the SHA-256 of the bytes.
+    """
     df = _rows(docs, id_col, text_col).select(*_ROW, units_of(F.col("t"), long_line).alias("u"))
     df = df.withColumn("b", _boundaries(F.col("u")))
     ends = F.concat("b", F.array(F.size("u") - 1))
@@ -128,16 +131,18 @@ def chunks(docs: DataFrame, id_col: str, text_col: str, words: int | None = None
     if words:
         spans = F.array_union(spans, _passages(F.col("u"), words))
     first, n = (lambda s: F.shiftright(s, 32).cast("int")), (lambda s: s.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int"))
-    rows = F.transform(
-        spans,
-        lambda s: F.struct(first(s).alias("first"), n(s).alias("n"), F.xxhash64(F.slice("u", first(s) + 1, n(s))).alias("hash")),
-    )
-    return df.select(*_ROW, F.inline(rows))
+
+    def row(s: Column) -> Column:
+        units = F.slice("u", first(s) + 1, n(s))
+        own = [F.unhex(F.sha2(F.array_join(units, ""), 256)).alias("digest")] if digest else []
+        return F.struct(first(s).alias("first"), n(s).alias("n"), F.xxhash64(units).alias("hash"), *own)
+
+    return df.select(*_ROW, F.inline(F.transform(spans, row)))
 
 
-def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int | None = None, long_line: int = LONG_LINE) -> DataFrame:
+def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", long_line: int = LONG_LINE) -> DataFrame:
     """(id, key, first, n) of the chunks to remove: equal, byte for byte, to an earlier one. key: the text's xxHash64."""
-    found = Written(chunks(docs, id_col, text_col, words, long_line), "chunks")
+    found = Written(chunks(docs, id_col, text_col, long_line=long_line), "chunks")
     often = Written(found.df.groupBy("hash").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "often")
     if often.bytes() <= BROADCAST_BYTES:
         twice = found.df.join(F.broadcast(often.df.drop("c")), "hash")
@@ -154,6 +159,24 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return every.join(kept, [*_ROW, "first", "n"], "left_anti")
 
 
+def repeated_passages(docs: DataFrame, id_col: str, text_col: str, words: int, long_line: int) -> DataFrame:
+    """(id, key, first, n) of the chunks and of the runs of that many words to remove: equal to an earlier one.
+
+    Runs overlap, so their bytes would be many times the text: here they are told
+    apart by hash and SHA-256. Two scans instead of a table of all runs: the first
+    counts hashes, the second keeps the runs whose hash is frequent, by a broadcast
+    while those hashes are few; a run that stands alone is its own first in any case.
+    """
+    hashes = chunks(docs, id_col, text_col, words, long_line).select("hash")
+    often = Written(hashes.groupBy("hash").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("hash"), "often")
+    runs = chunks(docs, id_col, text_col, words, long_line, digest=True)
+    if often.bytes() <= BROADCAST_BYTES:
+        runs = runs.join(F.broadcast(often.df), "hash", "left_semi")
+    runs = Written(runs, "runs").df
+    kept = runs.groupBy("hash", "digest").agg(F.min(F.struct(*_ROW, "first", "n")).alias("k")).select("k.*")
+    return runs.select(*_ROW, "first", "n").join(kept, [*_ROW, "first", "n"], "left_anti")
+
+
 def _merged(spans: Column) -> Column:
     """Sorted spans (first, n) that may overlap, as spans that do not."""
 
@@ -169,7 +192,8 @@ def _merged(spans: Column) -> Column:
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int | None = None, long_line: int = LONG_LINE) -> DataFrame:
     """docs with repeated chunks taken out of the text, and repeated passages of at least so many words; all columns stay."""
     with scratch() as keep:
-        gone = repeated_chunks(docs, id_col, text_col, words, long_line).groupBy(*_ROW).agg(F.array_sort(F.collect_set(F.struct("first", "n"))).alias("__gone"))
+        found = repeated_passages(docs, id_col, text_col, words, long_line) if words else repeated_chunks(docs, id_col, text_col, long_line)
+        gone = found.groupBy(*_ROW).agg(F.array_sort(F.collect_set(F.struct("first", "n"))).alias("__gone"))
         gone = Written(gone.select(F.col("id").alias("__id"), F.col("key").alias("__key"), _merged(F.col("__gone")).alias("__gone")), "gone")
         keep(gone)
     same = (docs[id_col].cast("long") == F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__key"))

@@ -5,10 +5,11 @@ counts of 64 two-bit segments, whose Manhattan distance never exceeds the Hammin
 distance. The grid is laid over choices of segments: texts with the same counts
 in all segments of a choice share a cell, and points of a cell are held against
 each other by Manhattan distance, then by Hamming distance. How many segments a
-choice has follows the number of texts, so that a cell holds some CELL of them;
-how many choices there are follows from that and from how often texts of just the
-wanted similarity agree in a segment, so that such a pair shares a cell with
-probability RECALL at least, whatever the size of the table. Candidates are then
+choice has follows the number of texts, LEAST at least, so that a cell holds some
+CELL of unrelated ones at most; how many choices there are follows from that and
+from how often texts of just the wanted similarity agree in a segment, so that
+such a pair shares a cell with probability RECALL at least, whatever the size of
+the table. Candidates are then
 verified on the whole texts.
 
 In cells crowded with near points only a forest of links comes out, never all
@@ -27,8 +28,9 @@ from pyspark.sql import functions as F
 from loomgraph.llm.common import Written, by_frequent_key, connected_components, scratch, strings
 from loomgraph.llm.simhash import SLICE, embed
 
-#: Points of a cell on average; points of a cell that are dealt into chunks if there are more; rows worked on at once.
-CELL, BLOCK, ROWS = 256, 4096, 1 << 16
+#: Unrelated points of a cell, segments of a choice, points of a cell that are dealt into chunks if there are more, rows
+#: worked on at once, and near pairs of a cell that come out as they are.
+CELL, LEAST, BLOCK, ROWS, FEW = 2048, 8, 4096, 1 << 16, 64
 #: How surely a pair of just the wanted similarity becomes a candidate, as regards cells and as regards the radius.
 RECALL, SIGMAS = 0.9, 2.33
 BITS, SEGMENTS = 128, 64
@@ -64,7 +66,7 @@ def grid(n: int, similarity: float) -> tuple[np.ndarray, int]:
     """(masks, radius) for n points: a mask over both words of the embedding for each choice of segments."""
     p = flips(similarity)
     same = (1 - p) ** 2 + p * p / 2
-    size = max(4, round(math.log(max(1.0, n / CELL)) / math.log(1 / CHANCE)))
+    size = max(LEAST, round(math.log(max(1.0, n / CELL)) / math.log(1 / CHANCE)))
     # A pair that disagrees in some number of segments agrees in a choice that has none of them.
     agree = [math.comb(SEGMENTS - u, size) / math.comb(SEGMENTS, size) for u in range(SEGMENTS + 1)]
     often = [math.comb(SEGMENTS, u) * (1 - same) ** u * same ** (SEGMENTS - u) for u in range(SEGMENTS + 1)]
@@ -106,7 +108,7 @@ def _pairs(key, kind, x, label, chunk, own, masks, radius, every):
     of = np.repeat(np.arange(len(starts)), sizes)
     after = (starts + sizes)[of] - np.arange(len(key))  # rows of the cell from each row on
     e = np.stack([embed(x[:, 0]), embed(x[:, 1])], axis=1)
-    count, most = np.zeros(len(starts), np.int64), np.maximum(CELL, 4 * sizes)
+    count, most = np.zeros(len(starts), np.int64), np.maximum(FEW, 4 * sizes)
     found, live, s = [], np.arange(len(key)), 0
     while True:
         s += 1
