@@ -138,6 +138,17 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(e.select("b", "b").distinct())
 
 
+#: Rows whose texts a Python worker holds as objects at once.
+TEXTS = 250
+
+
+def parts_of(batches):
+    """Batches in parts of TEXTS rows: what a worker makes of each row dies with its part."""
+    for b in batches:
+        for at in range(0, max(1, b.num_rows), TEXTS):
+            yield b.slice(at, TEXTS)
+
+
 def strings(column) -> list[str]:
     """The texts of an Arrow column, null as empty, bytes that are no UTF-8 as U+FFFD."""
     try:

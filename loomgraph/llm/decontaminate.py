@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import Written, strings
+from loomgraph.llm.common import Written, parts_of, strings
 
 #: Bytes of benchmark text searched at once: the bound on what is sent to the executors.
 PATTERN_BYTES = 4 << 20
@@ -187,7 +187,7 @@ def remove_contaminated(
 
         def run(batches):
             engines = _engines(sent.value, window)
-            for b in batches:
+            for b in parts_of(batches):
                 words = map(words_of, strings(b.column(place)))
                 yield b.filter(pa.array([not any(True for e in engines for _ in e.search(w)) for w in words], pa.bool_()))
 

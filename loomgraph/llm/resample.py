@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomgraph.llm.common import Written, scratch, strings, worker_state
+from loomgraph.llm.common import Written, parts_of, scratch, strings, worker_state
 
 #: Labelled rows used at most: those with the smallest hash of their id.
 TARGET_ROWS = 40_000
@@ -40,7 +40,7 @@ _ENDS = (WORDS, WORDS + PAIRS, WORDS + PAIRS + MARKS)
 #: Pseudo-counts, evidence at which a difference is as likely as not, and what log weights are divided by before noise is added.
 SMOOTH, EVIDENCE, TEMPERATURE = 4.0, 8.0, 0.5
 #: Tokens that a worker's table keeps.
-KEPT = 200_000
+KEPT = 100_000
 #: Values of one histogram when the k-th largest key is looked for.
 BINS = 4096
 
@@ -79,7 +79,7 @@ def _counts(texts: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
         codes = worker_state("codes", Codes)
         size = _ENDS[2] + 1
         total, seen = np.zeros(size, np.int64), np.zeros(size, np.int64)
-        for b in batches:
+        for b in parts_of(batches):
             total[-1] += b.num_rows
             held, once, n = [], [], 0
 
@@ -93,7 +93,7 @@ def _counts(texts: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
                 held.append(x)
                 once.append(np.unique(x))
                 n += len(x)
-                if n > 1 << 20:
+                if n > 1 << 18:
                     add()
                     held, once, n = [], [], 0
             add()
@@ -124,7 +124,7 @@ def _scored(docs: DataFrame, ratios: np.ndarray, text_col: str) -> DataFrame:
 
     def run(batches):
         codes, r = worker_state("codes", Codes), sent.value
-        for b in batches:
+        for b in parts_of(batches):
             w = [float(r[buckets(t, codes)].sum(dtype=np.float64)) for t in strings(b.column(place))]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.round(w, 6), pa.float64())], names=[*b.schema.names, "__weight"])
 

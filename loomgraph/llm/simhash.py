@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import Written, by_frequent_key, connected_components, scratch, strings
+from loomgraph.llm.common import Written, by_frequent_key, connected_components, parts_of, scratch, strings
 
 #: Members of a cell that one task holds at once; larger cells are dealt into blocks of this size.
 BLOCK = 4096
@@ -57,7 +57,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, fp): a row for each document; fp holds the fingerprint's bits as a long."""
 
     def run(batches):
-        for b in batches:
+        for b in parts_of(batches):
             fps = [fingerprint(t, shingle) for t in strings(b.column(1))]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], names=["id", "fp"]

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import Written, by_frequent_key, connected_components, scratch, strings
+from loomgraph.llm.common import Written, by_frequent_key, connected_components, parts_of, scratch, strings
 from loomgraph.llm.simhash import SLICE, embed
 
 #: Unrelated points of a cell, segments of a choice, points of a cell that are dealt into chunks if there are more, rows
@@ -270,18 +270,18 @@ def _similar(docs: DataFrame, id_col: str, text_col: str, shingle: int, similari
     def sketched(batches):
         import xxhash
 
-        for b in batches:
-            words = list(map(_words, strings(b.column(1))))
-            fps = np.array([fingerprint(w, shingle) for w in words], np.uint64).reshape(-1, 2).view(np.int64)
-            keys = np.array([xxhash.xxh64_intdigest(b" ".join(w), 7) for w in words], np.uint64).view(np.int64)
+        for b in parts_of(batches):
+            made = []
+            for words in map(_words, strings(b.column(1))):
+                made.append((*fingerprint(words, shingle), xxhash.xxh64_intdigest(b" ".join(words), 7)))
+            made = np.array(made, np.uint64).reshape(-1, 3).view(np.int64)
+            fps, keys = made[:, :2], made[:, 2]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps[:, 0]), pa.array(fps[:, 1]), pa.array(keys)], names=["id", *_FP, "key"])
 
     def hashed(batches):
-        for b in batches:
-            for at in range(0, b.num_rows, 100):
-                part = b.slice(at, 100)
-                sets = [shingle_set(_words(t), shingle).tobytes() for t in strings(part.column(1))]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], names=["id", "h"])
+        for part in parts_of(batches):
+            sets = [shingle_set(_words(t), shingle).tobytes() for t in strings(part.column(1))]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], names=["id", "h"])
 
     df = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
     keyed = Written(df.mapInArrow(sketched, "id long, f0 long, f1 long, key long"), "keyed").df
