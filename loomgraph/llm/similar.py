@@ -29,8 +29,10 @@ from loomgraph.llm.common import Written, by_frequent_key, connected_components,
 from loomgraph.llm.simhash import SLICE, embed
 
 #: Unrelated points of a cell, segments of a choice, points of a cell that are dealt into chunks if there are more, rows
-#: worked on at once, and near pairs of a cell that come out as they are.
-CELL, LEAST, BLOCK, ROWS, FEW = 2048, 8, 4096, 1 << 16, 64
+#: worked on at once, and near pairs of a cell that come out as they are, or as many as it has points.
+CELL, LEAST, BLOCK, ROWS, FEW = 2048, 8, 4096, 1 << 16, 10
+#: Rounds in which only the nearest links are checked.
+ROUNDS = 3
 #: How surely a pair of just the wanted similarity becomes a candidate, as regards cells and as regards the radius.
 RECALL, SIGMAS = 0.9, 2.33
 BITS, SEGMENTS = 128, 64
@@ -108,7 +110,7 @@ def _pairs(key, kind, x, label, chunk, own, masks, radius, every):
     of = np.repeat(np.arange(len(starts)), sizes)
     after = (starts + sizes)[of] - np.arange(len(key))  # rows of the cell from each row on
     e = np.stack([embed(x[:, 0]), embed(x[:, 1])], axis=1)
-    count, most = np.zeros(len(starts), np.int64), np.maximum(FEW, 4 * sizes)
+    count, most = np.zeros(len(starts), np.int64), np.maximum(FEW, sizes)
     found, live, s = [], np.arange(len(key)), 0
     while True:
         s += 1
@@ -245,6 +247,13 @@ def _verified(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return held.select("a", "b", "ha", "hb").mapInArrow(run, "a long, b long").distinct()
 
 
+def _nearest(edges: DataFrame) -> DataFrame:
+    """(a, b): the link of each end with the fewest bits."""
+    both = edges.select("a", "b", "bits").union(edges.select("b", "a", "bits"))
+    best = both.groupBy("a").agg(F.min(F.struct("bits", "b")).alias("best"))
+    return best.select(F.least("a", "best.b").alias("x"), F.greatest("a", "best.b").alias("b")).distinct().toDF("a", "b")
+
+
 def _words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
@@ -252,9 +261,10 @@ def _words(text: str | None) -> list[bytes]:
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(id, component): near duplicates whose shingle sets have at least that Jaccard similarity; component: the smallest id of the group.
 
-    First each document's link to its nearest is verified, then the candidates
-    that still lie between different components, then all pairs of texts of
-    different components in groups of candidates where a link failed. Texts of the
+    First each document's link to its nearest is verified, in a few rounds that
+    leave out links within a component, then the candidates that still lie between
+    different components, then all pairs of texts of different components in groups
+    of candidates where a link failed. Texts of the
     same words are one node; texts without words are alike. Rows that repeat an id
     are one node, linked if any of them is; a null id has no component. An empty
     table gives no rows.
@@ -296,19 +306,24 @@ def _similar(docs: DataFrame, id_col: str, text_col: str, shingle: int, similari
     same = same.where("root <> node").select(F.col("node").alias("a"), F.col("root").alias("b"), F.lit(0).alias("bits"))
     edges = Written(found.unionByName(same).groupBy("a", "b").agg(F.min("bits").alias("bits")), "candidates").df
     both = edges.union(edges.select("b", "a", "bits"))
-    nodes = Written(both.groupBy("a").agg(F.min(F.struct("bits", "b")).alias("best")).select(F.col("a").alias("id"), F.col("best.b").alias("other")), "nodes")
-    near = nodes.df.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
-    chosen = Written(nodes.df.select("id"), "chosen").sized()
+    chosen = Written(both.select(F.col("a").alias("id")).distinct(), "chosen").sized()
     sets = df.join(chosen, "id", "left_semi").mapInArrow(hashed, "id long, h binary")
     sets = Written(sets, "sets").df
-    good = Written(_verified(Written(near, "near").df, sets, similarity), "good").df
-    label = connected_components(good)
-    rest = edges.join(near, ["a", "b"], "left_anti").select("a", "b")
-    for end in "ab":
-        rest = rest.join(label.select(F.col("node").alias(end), F.col("component").alias(f"c{end}")), end, "left")
-    rest = rest.where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
-    good = Written(good.union(_verified(Written(rest, "rest").df, sets, similarity)), "good").df
+    # In a family each link that holds spares others, so a few rounds check each text's nearest link out of its component.
+    tested = good = edges.select("a", "b").limit(0)
     label = connected_components(good)
+    for k in range(ROUNDS + 1):
+        left = edges.join(tested, ["a", "b"], "left_anti")
+        for end in "ab":
+            left = left.join(label.select(F.col("node").alias(end), F.col("component").alias(f"c{end}")), end, "left")
+        left = Written(left.where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b", "bits"), "left").df if k else edges
+        if left.isEmpty():
+            break
+        picked = left.select("a", "b") if k == ROUNDS else _nearest(left)
+        picked = Written(picked, "picked").df
+        good = Written(good.union(_verified(picked, sets, similarity)), "good").df
+        tested = Written(tested.union(picked), "tested").df
+        label = connected_components(good)
     # Crowded cells gave a forest, so where one of its links failed the ends' neighbours were perhaps never compared.
     group = connected_components(edges.select("a", "b")).toDF("root", "group").join(label.toDF("root", "label"), "root", "left")
     group = Written(group.select("root", "group", F.coalesce("label", "root").alias("label")), "groups").df
