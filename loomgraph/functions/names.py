@@ -77,10 +77,6 @@ def to_int(value: Column) -> Column:
     return F.coalesce(value.try_cast("double").cast("long"), F.lit(0).cast("long"))
 
 
-def has_write_keyword(query: str) -> bool:
-    return bool(re.search(r"(?i)\b(CREATE|MERGE|DELETE|SET|REMOVE|DETACH|CALL)\b", query))
-
-
 def is_identifier(name: str) -> bool:
     return bool(re.fullmatch(r"[a-zA-Z_][a-zA-Z0-9_]*", name))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 #: Extension (lower case) to language.
 LANGUAGES = {
-    ".go": "go", ".ts": "typescript", ".tsx": "tsx", ".js": "javascript", ".jsx": "javascript", ".py": "python", ".rb": "ruby",
+    ".go": "go", ".ts": "typescript", ".tsx": "tsx", ".js": "javascript", ".jsx": "jsx", ".py": "python", ".rb": "ruby",
     ".java": "java", ".rs": "rust", ".c": "c", ".h": "c", ".cpp": "cpp", ".hpp": "cpp", ".cc": "cpp",
 }
 #: Suffixes taken off a module path, one after another.
@@ -172,3 +172,9 @@ def is_go_stdlib(import_path: Column) -> Column:
 
 def go_module_visibility(import_path: Column) -> Column:
     return F.when(import_path.rlike(r"/internal(?:/|$)"), "internal").otherwise("public")
+
+
+def go_import_path(module: Column, mod_dir: Column, path: Column) -> Column:
+    """The import path of a Go file's package: the module line of the go.mod in mod_dir, then the directories below it."""
+    below = F.regexp_replace(path, r"/?[^/]*$", "").substr(F.when(mod_dir == "", F.lit(1)).otherwise(F.length(mod_dir) + 2), F.length(path))
+    return F.when(below == "", module).otherwise(F.concat(module, F.lit("/"), below))

@@ -1,6 +1,7 @@
 """The free-form layer: nodes with labels and a property map, and read-only SQL over them."""
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -37,7 +38,7 @@ class FreeGraph:
             nodes = part if nodes is None else nodes.unionByName(part)
         e = graph.edges()
         ident = F.concat_ws("|", "rel_type", "src_id", "dst_id")
-        props = F.map_filter(F.create_map(F.lit("callType"), F.col("call_type")), lambda _, v: v.isNotNull())
+        props = F.map_filter(F.create_map(F.lit("callType"), F.col("call_type"), F.lit("repo"), F.col("repo")), lambda _, v: v.isNotNull())
         return FreeGraph(nodes, e.select(ident.alias("id"), F.col("rel_type").alias("type"), F.col("src_id").alias("source_id"), F.col("dst_id").alias("target_id"), props.alias("properties")))
 
     def _long(self) -> DataFrame:
@@ -83,11 +84,18 @@ class FreeGraph:
         return found
 
     def union(self, other: FreeGraph) -> FreeGraph:
-        """Both graphs; of several nodes or edges of one id one stays."""
-        return FreeGraph(self.nodes.unionByName(other.nodes).dropDuplicates(["id"]), self.edges.unionByName(other.edges).dropDuplicates(["id"]))
+        """Both graphs; of several nodes or edges of one id and repository one stays, this graph's before the other's."""
+
+        def both(a: DataFrame, b: DataFrame) -> DataFrame:
+            repo = F.coalesce(F.col("properties")["repo"], F.lit("")).alias("__repo")
+            mine = a.select("*", repo).dropDuplicates(["id", "__repo"])
+            more = b.select("*", repo).dropDuplicates(["id", "__repo"]).join(mine.select("id", "__repo"), ["id", "__repo"], "left_anti")
+            return mine.unionByName(more).drop("__repo")
+
+        return FreeGraph(both(self.nodes, other.nodes), both(self.edges, other.edges))
 
     def sql(self, query: str, args: dict | None = None) -> DataFrame:
-        """Read-only SQL over nodes and edges; anything whose parsed plan holds a command is refused."""
+        """Read-only SQL over nodes and edges; commands, calls into Java and reads of files by path are refused."""
         spark = self.nodes.sparkSession
         self.nodes.createOrReplaceTempView("nodes")
         self.edges.createOrReplaceTempView("edges")
@@ -96,7 +104,13 @@ class FreeGraph:
 
 
 def refuse_commands(spark, query: str) -> None:
-    """PermissionError unless the text parses to a query: no command, insert or DDL anywhere in its plan."""
+    """PermissionError unless the text parses to a query: no command, insert or DDL anywhere in its plan, subqueries
+    included, no function that calls into Java or leaves the engine, and no relation but names of views.
+    """
+    # Anywhere in the text, a literal's included: comments between a name and its bracket must not hide it.
+    bare = re.sub(r"/\*.*?\*/|--[^\n]*", " ", query, flags=re.S).replace("`", "").lower()
+    if re.search(r"(?<![a-z0-9_])(?:try_)?(?:reflect|java_method|read_files|python_data_source)\s*\(", bare):
+        raise PermissionError("functions that call into Java or read files are not allowed")
     plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(query)
     todo = [plan]
     while todo:
@@ -104,5 +118,7 @@ def refuse_commands(spark, query: str) -> None:
         name = p.getClass().getName()
         if ".command." in name or name.endswith("Command") or any(k in name for k in ("InsertInto", "CreateTable", "CreateView", "CreateNamespace", "Drop", "AlterTable", "Truncate", "MergeInto", "DeleteFrom", "UpdateTable", "SetCatalog", "CacheTable", "RefreshTable", "CallStatement", "CompoundBody")):
             raise PermissionError("only read-only queries are allowed")
+        if name.endswith("UnresolvedRelation") and p.multipartIdentifier().size() > 1:
+            raise PermissionError("only the views by their names are allowed")
         children = p.children()
         todo += [children.apply(i) for i in range(children.size())]

@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions.names import truncate
-from loomgraph.operators.where import FIELDS, find
+from loomgraph.operators.where import FIELDS, Relation, find
 from loomgraph.plans.graph import NATURAL_KEYS, CodeGraph
 
 
@@ -41,17 +41,29 @@ def update_nodes(graph: CodeGraph, kind: str, where: dict, values: dict[str, Col
 def delete_nodes(graph: CodeGraph, kind: str, where: dict) -> tuple[CodeGraph, DataFrame]:
     """The graph without the nodes and their edges, and (nodes_deleted, relationships_deleted)."""
     hit = find(graph, kind, where).select("repo", "id")
-    gone = hit.select("id").distinct()
+    gone = hit.distinct()
     left = graph.nodes(kind).join(hit, ["repo", "id"], "left_anti")
     edges = graph.edges()
-    kept = edges.join(gone, edges["src_id"] == gone["id"], "left_anti")
-    kept = kept.join(gone, kept["dst_id"] == gone["id"], "left_anti")
+    kept = edges
+    for end in ("src_id", "dst_id"):
+        kept = kept.join(gone.withColumnRenamed("id", end), ["repo", end], "left_anti")
     count = gone.agg(F.count(F.lit(1)).alias("nodes_deleted")).withColumn(
         "relationships_deleted", edges.agg(F.count(F.lit(1))).scalar() - kept.agg(F.count(F.lit(1))).scalar()
     )
     return graph.with_nodes(kind, left).with_edges(kept), count
 
 
+_EDGE = ["repo", "rel_type", "src_id", "dst_id"]
+
+
+def _link(graph: CodeGraph, rel: Relation, a: DataFrame, b: DataFrame, call_type: str | None = None) -> CodeGraph:
+    """Adds the edges between all of a(repo, x) and all of b(repo, y) of one repository that the graph lacks."""
+    src, dst = ("x", "y") if rel.outgoing else ("y", "x")
+    new = a.join(b, "repo").select("repo", F.lit(rel.rel_type).alias("rel_type"), F.col(src).alias("src_id"), F.col(dst).alias("dst_id"), F.lit(call_type).cast("string").alias("call_type"))
+    have = graph.edges(rel.rel_type).select(*_EDGE)
+    return graph.with_edges(graph.edges().unionByName(new.distinct().join(have, _EDGE, "left_anti")))
+
+
 def connect(graph: CodeGraph, kind: str, field: str, on_from: dict, on_to: dict, call_type: str | None = None) -> CodeGraph:
     """Adds the edges of a field between all nodes of two filters that lack them.
 
@@ -61,23 +73,62 @@ def connect(graph: CodeGraph, kind: str, field: str, on_from: dict, on_to: dict,
     rel = FIELDS[kind][field]
     a = find(graph, kind, on_from).select("repo", F.col("id").alias("x"))
     b = find(graph, rel.target, on_to).select("repo", F.col("id").alias("y"))
-    pairs = a.join(b, "repo")
-    src, dst = ("x", "y") if rel.outgoing else ("y", "x")
-    new = pairs.select("repo", F.lit(rel.rel_type).alias("rel_type"), F.col(src).alias("src_id"), F.col(dst).alias("dst_id"), F.lit(call_type).cast("string").alias("call_type"))
-    have = graph.edges(rel.rel_type).select("repo", "rel_type", "src_id", "dst_id")
-    return graph.with_edges(graph.edges().unionByName(new.distinct().join(have, ["repo", "rel_type", "src_id", "dst_id"], "left_anti")))
+    return _link(graph, rel, a, b, call_type)
 
 
 def disconnect(graph: CodeGraph, kind: str, field: str, on_from: dict, on_to: dict) -> CodeGraph:
     rel = FIELDS[kind][field]
-    a = find(graph, kind, on_from).select(F.col("id").alias("x"))
-    b = find(graph, rel.target, on_to).select(F.col("id").alias("y"))
     own, other = ("src_id", "dst_id") if rel.outgoing else ("dst_id", "src_id")
-    edges = graph.edges()
-    hit = edges.where(F.col("rel_type") == rel.rel_type)
-    hit = hit.join(a, F.col(own) == F.col("x"), "left_semi").join(b, F.col(other) == F.col("y"), "left_semi")
-    keys = ["repo", "rel_type", "src_id", "dst_id"]
-    return graph.with_edges(edges.join(hit.select(*keys), keys, "left_anti"))
+    a = find(graph, kind, on_from).select("repo", F.col("id").alias(own))
+    b = find(graph, rel.target, on_to).select("repo", F.col("id").alias(other))
+    hit = graph.edges(rel.rel_type).join(a, ["repo", own], "left_semi").join(b, ["repo", other], "left_semi")
+    return graph.with_edges(graph.edges().join(hit.select(*_EDGE), _EDGE, "left_anti"))
+
+
+def nested(graph: CodeGraph, kind: str, where: dict, changes: dict[str, dict]) -> CodeGraph:
+    """Changes what is related to the nodes of a filter: {field: {"create": rows, "connect": filter, "disconnect": filter,
+    "update": (filter, values), "delete": filter}}, in this order. The filters are over the related type; update,
+    disconnect and delete touch only nodes that a node of the filter leads to, and all nodes stay in their repository.
+    """
+    for field, ops in changes.items():
+        unknown = set(ops) - {"create", "connect", "disconnect", "update", "delete"}
+        if unknown:
+            raise ValueError(f"unknown change {sorted(unknown)}")
+        rel = FIELDS[kind][field]
+        own, other = ("src_id", "dst_id") if rel.outgoing else ("dst_id", "src_id")
+        from_ = find(graph, kind, where).select("repo", F.col("id").alias("x"))
+        if "create" in ops:
+            rows = ops["create"]
+            if "id" not in rows.columns:
+                rows = rows.withColumn("id", F.concat_ws(":", F.lit(rel.target), *NATURAL_KEYS[rel.target]))
+            graph = _link(merge_nodes(graph, rel.target, rows), rel, from_, rows.select("repo", F.col("id").alias("y")))
+        if "connect" in ops:
+            graph = connect(graph, kind, field, where, ops["connect"])
+        if "disconnect" in ops:
+            graph = disconnect(graph, kind, field, where, ops["disconnect"])
+
+        def reached(inner: dict, graph: CodeGraph = graph) -> DataFrame:
+            hit = graph.edges(rel.rel_type).join(from_.withColumnRenamed("x", own), ["repo", own], "left_semi").select("repo", F.col(other).alias("id")).distinct()
+            return find(graph, rel.target, inner).join(hit, ["repo", "id"], "left_semi")
+
+        if "update" in ops:
+            changed = reached(ops["update"][0]).withColumns(ops["update"][1])
+            rest = graph.nodes(rel.target).join(changed.select("repo", "id"), ["repo", "id"], "left_anti")
+            graph = graph.with_nodes(rel.target, rest.unionByName(changed))
+        if "delete" in ops:
+            gone = reached(ops["delete"], graph).select("repo", "id")
+            kept = graph.edges()
+            for end in ("src_id", "dst_id"):
+                kept = kept.join(gone.withColumnRenamed("id", end), ["repo", end], "left_anti")
+            graph = graph.with_nodes(rel.target, graph.nodes(rel.target).join(gone, ["repo", "id"], "left_anti")).with_edges(kept)
+    return graph
+
+
+def created(before: CodeGraph, after: CodeGraph, kind: str) -> DataFrame:
+    """One row: nodes_created of the type and relationships_created between two states of a graph."""
+    nodes = after.nodes(kind).select("repo", "id").join(before.nodes(kind).select("repo", "id"), ["repo", "id"], "left_anti")
+    edges = after.edges().select(*_EDGE).join(before.edges().select(*_EDGE), _EDGE, "left_anti")
+    return nodes.agg(F.count(F.lit(1)).alias("nodes_created")).withColumn("relationships_created", edges.agg(F.count(F.lit(1))).scalar())
 
 
 def bind_edges(left: DataFrame, right: DataFrame, facts: DataFrame, left_on: list[str], right_on: list[str], rel_type: str) -> DataFrame:

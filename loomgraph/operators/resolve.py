@@ -30,6 +30,20 @@ def resolved_edges(refs: DataFrame, symbols: DataFrame) -> DataFrame:
     return hit.select("repo", rel.alias("rel_type"), F.col("from_id").alias("src_id"), "dst_id").where("rel_type IS NOT NULL").distinct()
 
 
+def path_imports(refs: DataFrame, modules: DataFrame) -> DataFrame:
+    """(repo, rel_type, src_id, dst_id): IMPORTS edges of relative imports whose name is no symbol's, by the module's path or its index.
+
+    refs: repo, from_id, file_path, to_name, kind, is_external. modules: repo, path, id.
+    """
+    at = paths.normalize_module(F.col("path"))
+    known = modules.select("repo", at.alias("at"), F.col("id").alias("dst_id")).groupBy("repo", "at").agg(F.min("dst_id").alias("dst_id"))
+    df = refs.where((F.col("kind") == "imports") & ~F.coalesce("is_external", F.lit(False)) & paths.is_relative_import(F.col("to_name")))
+    df = df.withColumn("at", paths.normalize_module(paths.resolve_import(F.col("file_path"), F.col("to_name"))))
+    df = df.join(known, ["repo", "at"], "left").withColumnRenamed("dst_id", "__own").withColumn("at", F.concat("at", F.lit("/index"))).join(known, ["repo", "at"], "left")
+    out = df.select("repo", F.lit("IMPORTS").alias("rel_type"), F.col("from_id").alias("src_id"), F.coalesce("__own", "dst_id").alias("dst_id"))
+    return out.where("dst_id IS NOT NULL").distinct()
+
+
 def _marked(refs: DataFrame, symbols: DataFrame, files: DataFrame) -> DataFrame:
     """Internal references with whether they resolve: by name, or as a relative import to a module's path or its index."""
     known = symbols.select("repo", F.col("name").alias("to_name")).distinct().withColumn("by_name", F.lit(True))

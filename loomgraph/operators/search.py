@@ -70,10 +70,9 @@ def fuzzy_names(graph: CodeGraph, repo: str, query: str, limit: int = 10) -> Dat
     """Functions and classes by edit distance to the query without its wildcards; nothing for an empty rest."""
     bare = query.strip().replace("*", "").replace("?", "")
     hits = _symbols(graph, repo)
-    # The distance is at least the difference in length, which prunes most rows before the quadratic part.
-    near = F.abs(F.octet_length("name") - len(bare.encode())) <= (1 - names.FUZZY_LEAST) * F.greatest(F.octet_length("name"), F.lit(len(bare.encode())))
-    ascii_only = bare.isascii()
-    hits = hits.where((near if ascii_only else F.lit(True)) & F.lit(bool(bare)))
+    # The distance is at least the difference in characters, which prunes most rows before the quadratic part.
+    near = F.abs(F.length("name") - len(bare)) <= (1 - names.FUZZY_LEAST) * F.greatest(F.length("name"), F.lit(len(bare)))
+    hits = hits.where(near & F.lit(bool(bare)))
     hits = _scored(hits, names.similarity(F.lit(bare), F.col("name")), "fuzzy").where(F.col("score") >= names.FUZZY_LEAST)
     return _ranked(hits, limit or 10)
 

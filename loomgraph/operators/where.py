@@ -1,12 +1,16 @@
 """The filter language: nested dicts to columns, and relationship predicates to semi and anti joins.
 
 Suffixes: none (equality), _gt _gte _lt _lte, _contains, _startsWith, _endsWith,
-_regex (whole string), _in, _nin, _not, _isNull; AND, OR, NOT; <rel>_some,
-<rel>_none with a nested filter over related nodes. Null never matches, as in
-Cypher, but for _isNull.
+_regex (whole string), _in, _nin, _not, _isNull; on list columns only equality,
+_not, _contains, _in, _nin (any of) and _isNull. AND, OR, NOT, which may hold
+relations too; <rel> or <rel>_some, _none, _all, _single with a nested filter over
+related nodes, and repository with a filter over repositories. Null never matches,
+as in Cypher, but for _isNull. Nodes are told apart by (repo, id) throughout.
 """
 from __future__ import annotations
 
+import base64
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -31,7 +35,8 @@ FIELDS = {
     "Function": {
         "calls": Relation("CALLS", True, "Function"), "calledBy": Relation("CALLS", False, "Function"),
         "overrides": Relation("OVERRIDES", True, "Function"), "overriddenBy": Relation("OVERRIDES", False, "Function"),
-        "owner": Relation("HAS_METHOD", False, "Class"), "externalCalls": Relation("CALLS", True, "ExternalReference"),
+        "owner": Relation("HAS_METHOD", False, "Class"), "class": Relation("HAS_METHOD", False, "Class"),
+        "module": Relation("EXPORTS", False, "Module"), "externalCalls": Relation("CALLS", True, "ExternalReference"),
         "definedIn": Relation("DEFINES", False, "File"),
     },
     "Class": {
@@ -74,6 +79,8 @@ def condition(name: str, op: str, value, is_list: bool = False) -> Column:
         if op in ("in", "nin"):
             hit = F.arrays_overlap(c, values)
             return hit if op == "in" else ~hit
+        if op not in ("eq", "not"):
+            raise ValueError(f"a list has no filter {op!r}")
         return c == values if op == "eq" else c != values
     return {
         "eq": lambda: c == F.lit(value), "not": lambda: c != F.lit(value), "gt": lambda: c > value, "gte": lambda: c >= value,
@@ -82,51 +89,87 @@ def condition(name: str, op: str, value, is_list: bool = False) -> Column:
     }[op]()
 
 
-def predicate(where: dict, df: DataFrame) -> Column:
-    """The column for a filter without relationship fields."""
+def predicate(where: dict, df: DataFrame, leaf=None) -> Column:
+    """The column for a filter. leaf: gives the column for a key that names a relation, else None."""
     kinds = dict(df.dtypes)
     out = F.lit(True)
     for key, value in where.items():
         if key == "AND":
             part = F.lit(True)
             for w in value:
-                part = part & predicate(w, df)
+                part = part & predicate(w, df, leaf)
         elif key == "OR":
             part = F.lit(False)
             for w in value:
-                part = part | predicate(w, df)
+                part = part | predicate(w, df, leaf)
         elif key == "NOT":
-            part = ~predicate(value, df)
+            part = ~predicate(value, df, leaf)
         else:
-            name, op = _split(key, df.columns)
-            part = condition(name, op, value, kinds[name].startswith("array"))
+            part = leaf(key, value) if leaf else None
+            if part is None:
+                name, op = _split(key, df.columns)
+                part = condition(name, op, value, kinds[name].startswith("array"))
         out = out & part
     return out
 
 
+def _relation(kind: str, key: str) -> tuple[Relation | None, str] | None:
+    """The relation that a key names, None for the repository, and how it is meant."""
+    if key == "repository":
+        return None, "some"
+    if key in FIELDS[kind]:
+        return FIELDS[kind][key], "some"
+    name, _, how = key.rpartition("_")
+    if name in FIELDS[kind] and how.lower() in ("some", "none", "all", "single"):
+        return FIELDS[kind][name], how.lower()
+    return None
+
+
+def related(graph: CodeGraph, rel: Relation | None, how: str, inner: dict | None) -> tuple[DataFrame, list[str], bool]:
+    """(hits, keys, wanted): nodes whose keys are, or are not, among the hits fulfil the relation."""
+    if rel is None:
+        return find(graph, "Repository", inner).select(F.col("name").alias("repo")), ["repo"], True
+    own, other = ("src_id", "dst_id") if rel.outgoing else ("dst_id", "src_id")
+    if how == "all":  # none that does not match
+        inner, how = {"NOT": inner or {}}, "none"
+    targets = find(graph, rel.target, inner).select("repo", F.col("id").alias(other))
+    hits = graph.edges(rel.rel_type).join(targets, ["repo", other], "left_semi").select("repo", F.col(own).alias("id"), F.col(other).alias("of"))
+    if how == "single":
+        hits = hits.groupBy("repo", "id").agg(F.count_distinct("of").alias("n")).where("n = 1")
+    return hits.select("repo", "id"), ["repo", "id"], how != "none"
+
+
 def find(graph: CodeGraph, kind: str, where: dict | None = None, sort: list[dict] | None = None) -> DataFrame:
-    """Nodes of a type under a filter; relationship fields become semi or anti joins."""
+    """Nodes of a type under a filter; relations become semi or anti joins, those within AND, OR and NOT marks that are joined."""
     df = graph.nodes(kind)
-    plain, related = {}, []
+    plain, joins, marks = {}, [], []
     for key, value in (where or {}).items():
-        name, _, how = key.rpartition("_")
-        if name in FIELDS[kind] and how.lower() in ("some", "none"):
-            related.append((FIELDS[kind][name], how.lower() == "some", value))
-        elif key in FIELDS[kind]:
-            related.append((FIELDS[kind][key], True, value))
-        elif key == "repository":
-            df = df.where(F.col("repo") == value["name"])
-        else:
+        rel = _relation(kind, key)
+        if rel is None:
             plain[key] = value
+        elif rel[0] is None and set(value) == {"name"}:
+            df = df.where(F.col("repo") == value["name"])  # the partition column
+        else:
+            joins.append((*rel, value))
+
+    def leaf(key: str, value) -> Column | None:
+        rel = _relation(kind, key)
+        if rel is None:
+            return None
+        hits, on, wanted = related(graph, *rel, value)
+        name = f"__has{len(marks)}"
+        marks.append((hits.distinct().withColumn(name, F.lit(True)), on))
+        has = F.coalesce(F.col(name), F.lit(False))
+        return has if wanted else ~has
+
     if plain:
-        df = df.where(predicate(plain, df))
-    for rel, some, inner in related:
-        own, other = ("src_id", "dst_id") if rel.outgoing else ("dst_id", "src_id")
-        hits = graph.edges(rel.rel_type)
-        targets = find(graph, rel.target, inner) if inner else graph.nodes(rel.target)
-        hits = hits.join(targets.select(F.col("id").alias("__other")), F.col(other) == F.col("__other"), "left_semi")
-        hits = hits.select(F.col(own).alias("id"))
-        df = df.join(hits, "id", "left_semi" if some else "left_anti")
+        columns, holds = df.columns, predicate(plain, df, leaf)
+        for hits, on in marks:
+            df = df.join(hits, on, "left")
+        df = df.where(holds).select(*columns)
+    for rel, how, inner in joins:
+        hits, on, wanted = related(graph, rel, how, inner)
+        df = df.join(hits, on, "left_semi" if wanted else "left_anti")
     return order(df, sort) if sort else df
 
 
@@ -149,6 +192,27 @@ def page(df: DataFrame, key: list[str], first: int, after: tuple | None = None)
     return ahead.withColumn("has_next", F.lit(ahead.agg(F.count(F.lit(1)) > first).scalar())).orderBy(*key).limit(first)
 
 
+def cursor(values: tuple) -> str:
+    """The opaque text for a key's values."""
+    return base64.b64encode(json.dumps(list(values)).encode()).decode()
+
+
+def cursor_page(df: DataFrame, key: list[str], first: int, after: str | None = None) -> DataFrame:
+    """page() by cursors: the rows with cursor, has_next, has_previous and total_count, the count without any cursor."""
+    at = tuple(json.loads(base64.b64decode(after))) if after else None
+    total = df.agg(F.count(F.lit(1))).scalar()
+    before = F.lit(False)
+    if at is not None:  # whether any row is at the cursor or before it
+        beyond, same = F.lit(False), F.lit(True)
+        for k, v in zip(key, at, strict=True):
+            beyond, same = beyond | (same & (F.col(k) > v)), same & (F.col(k) == v)
+        before = df.where(~beyond).agg(F.count(F.lit(1)) > 0).scalar()
+    parts = [F.concat(F.lit('"'), F.replace(F.replace(F.col(k).cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"')) if t == "string" else F.col(k).cast("string") for k, t in ((k, dict(df.dtypes)[k]) for k in key)]
+    text = F.concat(F.lit("["), F.concat_ws(", ", *parts), F.lit("]"))
+    out = page(df, key, first, at)
+    return out.withColumns({"cursor": F.base64(F.encode(text, "UTF-8")), "has_previous": F.lit(before), "total_count": F.lit(total)})
+
+
 def connection(graph: CodeGraph, kind: str, field: str, first: int, sort: list[str], where: dict | None = None) -> DataFrame:
     """For each node the first related nodes by sort, one row each: src_id, position, node columns, edge columns."""
     from pyspark.sql import Window
@@ -156,6 +220,6 @@ def connection(graph: CodeGraph, kind: str, field: str, first: int, sort: list[s
     rel = FIELDS[kind][field]
     own, other = ("src_id", "dst_id") if rel.outgoing else ("dst_id", "src_id")
     nodes = find(graph, rel.target, where)
-    rows = graph.edges(rel.rel_type).select(F.col(own).alias("of"), F.col(other).alias("id"), "call_type").join(nodes, "id")
-    w = Window.partitionBy("of").orderBy(*sort, "id")
+    rows = graph.edges(rel.rel_type).select("repo", F.col(own).alias("of"), F.col(other).alias("id"), "call_type").join(nodes, ["repo", "id"])
+    w = Window.partitionBy("repo", "of").orderBy(*sort, "id")
     return rows.withColumn("position", F.row_number().over(w)).where(F.col("position") <= first)

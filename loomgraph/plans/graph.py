@@ -65,10 +65,36 @@ class CodeGraph:
         return replace(self, edge_table=df)
 
     def write(self, path: str) -> None:
-        """One Parquet table a node type, partitioned by repo; edges by relation and repo."""
-        for kind in self.tables:
-            self.nodes(kind).write.mode("overwrite").partitionBy("repo").parquet(f"{path}/{kind}")
-        self.edges().write.mode("overwrite").partitionBy("rel_type", "repo").parquet(f"{path}/edges")
+        """One Parquet table a node type, partitioned by repo; edges by relation and repo.
+
+        The repositories of this graph are replaced, others in the store stay.
+        """
+        tables = {kind: (self.nodes(kind), ["repo"]) for kind in self.tables} | {"edges": (self.edges(), ["repo", "rel_type"])}
+        repos = {r["repo"] for df, _ in tables.values() for r in df.select("repo").distinct().collect()}  # names of repositories only
+        for name, (df, by) in tables.items():
+            df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(f"{path}/{name}")
+            kept = {tuple(r) for r in df.select(*by).distinct().collect()}
+            self._drop_stale(f"{path}/{name}", by, repos, kept)
+
+    def _drop_stale(self, path: str, by: list[str], repos: set[str], kept: set[tuple]) -> None:
+        """Removes partitions of the repositories just written that have no rows any more."""
+        jvm = self.spark._jvm
+        unescape = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
+        root = jvm.org.apache.hadoop.fs.Path(path)
+        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        todo = [(root, ())]
+        while todo:
+            at, values = todo.pop()
+            if len(values) == len(by):
+                if values not in kept:
+                    fs.delete(at, True)
+                continue
+            for status in fs.listStatus(at) if fs.exists(at) else ():
+                name = status.getPath().getName()
+                if name.startswith(f"{by[len(values)]}="):
+                    value = unescape(name.split("=", 1)[1])
+                    if values or value in repos:
+                        todo.append((status.getPath(), (*values, value)))
 
     @staticmethod
     def read(spark: SparkSession, path: str, kinds=tuple(NODE_COLUMNS)) -> CodeGraph:

@@ -6,7 +6,8 @@ from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import names, paths
@@ -126,21 +127,55 @@ def _struct(ddl: str) -> str:
     return ", ".join(f"{name}:{kind}" for name, kind in (c.strip().split(" ", 1) for c in ddl.split(", ")))
 
 
-def build(spark: SparkSession, repo: str, entries: DataFrame, texts: DataFrame, analyzed: DataFrame) -> CodeGraph:
-    """The graph of a repository from its manifest, its texts and what was extracted."""
+def facts_of(texts: DataFrame) -> DataFrame:
+    """(repo, path, mtime, lineCount, goModule, symbols, refs) of files(repo, path, mtime, text): all that a graph needs of a text.
+
+    goModule: the module line of a go.mod. Files that are not parsed have null symbols and refs.
+    """
+    parsed = analyze(texts)
+    line = F.regexp_extract("text", r"(?m)^\s*module\s+(\S+)", 1)
+    module = F.when((paths.basename(F.col("path")) == "go.mod") & (line != ""), line)
+    own = texts.select("repo", "path", "mtime", paths.line_count(F.col("text")).alias("lineCount"), module.alias("goModule"))
+    return own.join(parsed, ["repo", "path"], "left")
+
+
+def _last(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Of several symbols of one key the one that stands last in its file."""
+    w = Window.partitionBy(*keys).orderBy(F.desc("startingLine"), F.desc("endingLine"))
+    return df.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
+
+
+def _go_paths(modules: DataFrame, facts: DataFrame) -> DataFrame:
+    """Modules of Go with importPath and visibility from the nearest go.mod above them."""
+    mods = facts.where("goModule IS NOT NULL").select("repo", paths.parent(F.col("path")).alias("dir"), "goModule")
+    parts = F.split(paths.parent(F.col("path")), "/")
+    above = F.concat(F.array(F.lit("")), F.transform(parts, lambda _, i: F.array_join(F.slice(parts, F.lit(1), i + 1), "/")))
+    near = modules.where("language = 'go'").select("repo", "id", F.explode(F.array_distinct(above)).alias("dir")).join(mods, ["repo", "dir"])
+    near = near.groupBy("repo", "id").agg(F.max(F.struct(F.length("dir").alias("n"), "dir", "goModule")).alias("m")).select("repo", "id", "m.dir", "m.goModule")
+    at = paths.go_import_path(F.col("goModule"), F.col("dir"), F.col("path"))
+    out = modules.join(near, ["repo", "id"], "left").withColumn("importPath", F.coalesce(at, "importPath"))
+    seen = F.when(F.col("language") == "go", paths.go_module_visibility(F.col("importPath"))).otherwise(F.col("visibility"))
+    return out.withColumn("visibility", F.when(F.col("importPath").isNull(), F.col("visibility")).otherwise(seen)).drop("dir", "goModule")
+
+
+def build(spark: SparkSession, repo: str, entries: DataFrame, facts: DataFrame) -> CodeGraph:
+    """The graph of a repository from its manifest and what its files hold."""
+    analyzed = facts.where("symbols IS NOT NULL")
     ident = lambda kind, *cols: F.concat_ws(":", F.lit(kind), *cols)
     folders = entries.where("is_dir").select("repo", ident("Folder", "path").alias("id"), "path", F.col("mtime").alias("lastUpdated"))
-    files = texts.select(
+    files = facts.select(
         "repo", ident("File", "path").alias("id"), "path", paths.basename(F.col("path")).alias("filename"), paths.detect_language(F.col("path")).alias("language"),
-        paths.line_count(F.col("text")).alias("lineCount"), F.col("mtime").alias("lastUpdated"),
+        "lineCount", F.col("mtime").alias("lastUpdated"),
     )
     s = analyzed.select("repo", F.inline("symbols"))
     end = names.ending_line(F.col("line_number"), F.col("line_count")).cast("int").alias("endingLine")
     common = ["repo", "name", "path", "language", "visibility", F.col("line_number").alias("startingLine"), end]
     stored = names.truncate(F.col("source")).alias("source")
-    functions = s.where("kind IN ('function', 'method')").select(ident("Function", "path", "name").alias("id"), *common, "signature", stored, F.col("complexity").alias("cyclomaticComplexity"), "decorators", "parent_name").dropDuplicates(["repo", "name", "path"])
-    classes = s.where("kind IN ('class', 'struct', 'interface')").select(ident("Class", "path", "name").alias("id"), *common, "kind", stored, "decorators").dropDuplicates(["repo", "name", "path"])
-    modules = s.where("kind = 'module'").select(ident("Module", "path", "name").alias("id"), *common, F.col("import_path").alias("importPath"), F.col("module_kind").alias("kind")).dropDuplicates(["repo", "name", "path"])
+    key = ["repo", "name", "path"]
+    functions = _last(s.where("kind IN ('function', 'method')").select(ident("Function", "path", "name").alias("id"), *common, "signature", stored, F.col("complexity").alias("cyclomaticComplexity"), "decorators", "parent_name"), key)
+    classes = _last(s.where("kind IN ('class', 'struct', 'interface')").select(ident("Class", "path", "name").alias("id"), *common, "kind", stored, "decorators"), key)
+    modules = _last(s.where("kind = 'module'").select(ident("Module", "path", "name").alias("id"), *common, F.col("import_path").alias("importPath"), F.col("module_kind").alias("kind")), key)
+    modules = _go_paths(modules, facts)
     row = spark.createDataFrame([(repo, f"Repository:{repo}", repo)], "repo string, id string, name string")
 
     refs = analyzed.select("repo", F.inline("refs"))
@@ -149,6 +184,7 @@ def build(spark: SparkSession, repo: str, entries: DataFrame, texts: DataFrame,
     refs = refs.join(own, ["repo", "file_path", "from_symbol"], "left").withColumn("from_id", F.coalesce("own", ident("File", "file_path"))).drop("own")
     known = functions.select("repo", "name", "id").unionByName(classes.select("repo", "name", "id")).unionByName(modules.select("repo", "name", "id"))
     resolved = resolve.resolved_edges(refs, known)
+    resolved = resolved.unionByName(resolve.path_imports(refs, modules)).distinct()
     externals, external_edges = resolve.external_references(refs)
 
     def edge(df: DataFrame, rel: str, src, dst) -> DataFrame:
@@ -185,17 +221,55 @@ def build(spark: SparkSession, repo: str, entries: DataFrame, texts: DataFrame,
 
 
 def ingest(spark: SparkSession, root: str, repo: str, out: str | None = None) -> CodeGraph:
-    """Index, analyse and resolve a tree; with out, the graph is written there and read back."""
+    """Index, analyse and resolve a tree; with out, the graph is written there, beside other repositories, and read back."""
     entries = manifest(spark, root, repo)
     texts = contents(spark, root, entries.where("NOT is_dir")).persist()
-    analyzed = analyze(texts).persist()  # each file is parsed once, whatever tables are made from it
-    graph = build(spark, repo, entries, texts, analyzed)
+    facts = facts_of(texts).persist()  # each file is parsed once, whatever tables are made from it
+    graph = build(spark, repo, entries, facts)
     if out:
-        graph.write(out)
-        graph = CodeGraph.read(spark, out)
+        graph = _store(spark, graph, facts, out)
+        facts.unpersist()
+        texts.unpersist()
     return graph
 
 
+def _store(spark: SparkSession, graph: CodeGraph, facts: DataFrame, out: str) -> CodeGraph:
+    facts.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repo").parquet(f"{out}/facts")
+    graph.write(out)
+    return CodeGraph.read(spark, out)
+
+
+def reingest(spark: SparkSession, root: str, repo: str, out: str) -> tuple[CodeGraph, dict[str, int]]:
+    """The store at out brought up to the tree, and how many files were new, changed, deleted and unchanged.
+
+    Only new and changed files are read and parsed; if there are none, and none was
+    deleted, nothing is written. A repository that the store lacks is ingested whole.
+    """
+    try:
+        old = spark.read.parquet(f"{out}/facts").where(F.col("repo") == repo)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        old = None
+    if old is None or old.isEmpty():
+        graph = ingest(spark, root, repo, out)
+        return graph, {"new": graph.nodes("File").where(F.col("repo") == repo).count()}
+    entries = manifest(spark, root, repo)
+    files = entries.where("NOT is_dir")
+    states = incremental(files, old.select("repo", "path", "mtime")).persist()
+    fresh = states.where("state IN ('new', 'changed')").select("repo", "path")
+    texts = contents(spark, root, files.join(fresh, ["repo", "path"], "left_semi")).persist()
+    parsed = facts_of(texts).persist()
+    binary = fresh.join(texts.select("repo", "path"), ["repo", "path"], "left_anti")  # read, and left out again
+    counts = {r["state"]: r["count"] for r in states.join(binary, ["repo", "path"], "left_anti").groupBy("state").count().collect()}
+    if not set(counts) - {"unchanged"}:
+        return CodeGraph.read(spark, out), counts
+    kept = old.join(states.where("state = 'unchanged'").select("repo", "path"), ["repo", "path"], "left_semi")
+    facts = kept.select(*parsed.columns).unionByName(parsed).persist()
+    facts.count()  # what is read from the store is held before the store is written
+    return _store(spark, build(spark, repo, entries, facts), facts, out), counts
+
+
 def changes(spark: SparkSession, root: str, repo: str, previous: DataFrame) -> DataFrame:
     """(repo, path, mtime, state) of the tree's files against the File nodes of the last run."""
     now = manifest(spark, root, repo).where("NOT is_dir")

@@ -97,3 +97,54 @@ def test_stream_windows(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("SELECT sum(n) FROM w").first()[0] == events.count()
+
+
+def test_relative_imports_and_go_modules(spark, tmp_path):
+    root = tmp_path / "r"
+    files = {
+        "web/a.ts": "import { run } from './b'\nimport { x } from './lib'\nexport function go() { run() }\n", "web/b.ts": "export function run() {}\n", "web/lib/index.ts": "export function x() {}\n",
+        "go.mod": "module example.com/top\n\ngo 1.22\n", "main.go": "package main\n\nfunc main() {}\n", "svc/go.mod": "module example.com/svc\n", "svc/internal/db/db.go": "package db\n\nfunc Open() {}\n",
+    }
+    for name, text in files.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(text)
+    g = repository.ingest(spark, str(root), "r")
+    edges = {(r["rel_type"], r["src_id"], r["dst_id"].split(":")[1]) for r in g.edges("IMPORTS", "DEPENDS_ON").where("dst_id LIKE 'Module:%'").collect()}
+    assert {("IMPORTS", "File:web/a.ts", "web/b.ts"), ("IMPORTS", "File:web/a.ts", "web/lib/index.ts")} <= edges
+    assert {(k, d) for k, _, d in edges if k == "DEPENDS_ON"} == {("DEPENDS_ON", "web/b.ts"), ("DEPENDS_ON", "web/lib/index.ts")}
+    mods = {r["path"]: (r["importPath"], r["visibility"]) for r in g.nodes("Module").where("language = 'go'").collect()}
+    assert mods == {"main.go": ("example.com/top", "public"), "svc/internal/db/db.go": ("example.com/svc/internal/db", "internal")}
+
+
+def test_several_repositories_in_one_store(spark, tree, tmp_path):
+    out = str(tmp_path / "store")
+    repository.ingest(spark, tree, "one", out)
+    g = repository.ingest(spark, tree, "two", out)
+    count = lambda g, repo: (g.nodes("Function").where(f"repo = '{repo}'").count(), g.edges().where(f"repo = '{repo}'").count())
+    assert count(g, "one") == count(g, "two") and count(g, "one")[0] == 5
+
+
+def test_reingest_reads_only_what_changed(spark, tree, tmp_path, monkeypatch):
+    out = str(tmp_path / "store")
+    repository.reingest(spark, tree, "demo", out)
+    repository.ingest(spark, tree, "other", out)
+    seen = []
+    analyze = repository.analyze
+    monkeypatch.setattr(repository, "analyze", lambda files: seen.append(sorted(r["path"] for r in files.collect())) or analyze(files))
+    monkeypatch.setattr(repository.CodeGraph, "write", lambda *a: pytest.fail("nothing has changed"))
+    _, counts = repository.reingest(spark, tree, "demo", out)
+    assert set(counts) == {"unchanged"} and seen == [[]]
+    monkeypatch.undo()
+    monkeypatch.setattr(repository, "analyze", lambda files: seen.append(sorted(r["path"] for r in files.collect())) or analyze(files))
+    with open(f"{tree}/main.go", "a") as f:
+        f.write("\nfunc more() {\n\thelper()\n}\n")
+    os.utime(f"{tree}/main.go", (2e9, 2e9))
+    os.remove(f"{tree}/app/b.py")
+    g, counts = repository.reingest(spark, tree, "demo", out)
+    assert seen[-1] == ["main.go"] and counts["changed"] == 1 and counts["deleted"] == 1
+    mine = {r["id"] for r in g.nodes("Function").where("repo = 'demo'").collect()}
+    assert mine == {"Function:main.go:main", "Function:main.go:more", "Function:lib/util.go:helper", "Function:app/a.py:go"}
+    assert g.edges("OVERRIDES").where("repo = 'demo'").count() == 0 and g.edges("OVERRIDES").where("repo = 'other'").count() == 1
+    monkeypatch.undo()
+    whole = repository.ingest(spark, tree, "demo")
+    assert sorted(map(tuple, g.edges().where("repo = 'demo'").collect()), key=str) == sorted(map(tuple, whole.edges().collect()), key=str)
