@@ -105,6 +105,15 @@ def by_frequent_key(left: DataFrame, lookup: DataFrame, key: str, count: str, to
     return dealt.join(copies, [key, "__part"], how).drop("__part")
 
 
+#: Rows that are worth a partition of their own between the steps of small tables.
+ROWS_A_PART = 100_000
+
+
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """In no more partitions than so many rows are worth: small tables would else be mostly files and tasks."""
+    return df.coalesce(rows // ROWS_A_PART + 1)
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for each node of the edges (a, b), both long; component: its smallest node.
 
@@ -117,15 +126,15 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     seen = tuple(state.df.agg(*mark).first())
     low = F.min("b").alias("m"), F.count(F.lit(1)).alias("n")
     for _ in range(max_rounds if seen[0] else 0):
-        e, total = state.df, 2 * seen[0]
+        e, total = few(state.df, seen[0]), 2 * seen[0]
         both = e.union(e.select("b", "a")).toDF("a", "b")
-        lows = both.groupBy("a").agg(*low).select("a", F.least("a", "m").alias("m"), "n")
-        met = by_frequent_key(both, lows, "a", "n", total)
-        large = met.select(F.greatest("a", "b").alias("a"), F.col("m").alias("b")).distinct()
-        lows = large.groupBy("a").agg(*low)
-        joined = by_frequent_key(large, lows, "a", "n", total)
+        lows = few(both.groupBy("a").agg(*low).select("a", F.least("a", "m").alias("m"), "n"), total)
+        met = few(by_frequent_key(both, lows, "a", "n", total), total)
+        large = few(met.select(F.greatest("a", "b").alias("a"), F.col("m").alias("b")).distinct(), total)
+        lows = few(large.groupBy("a").agg(*low), total)
+        joined = few(by_frequent_key(large, lows, "a", "n", total), total)
         small = joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        after = Written(small.union(lows.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        after = Written(few(small.union(lows.select("a", F.col("m").alias("b"))).distinct(), total), "edges")
         state.drop()
         state, before = after, seen
         seen = tuple(state.df.agg(*mark).first())

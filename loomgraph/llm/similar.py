@@ -25,14 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import Written, by_frequent_key, connected_components, parts_of, scratch, strings
+from loomgraph.llm.common import Written, by_frequent_key, connected_components, few, parts_of, scratch, strings
 from loomgraph.llm.simhash import SLICE, embed
 
 #: Unrelated points of a cell, segments of a choice, points of a cell that are dealt into chunks if there are more, rows
 #: worked on at once, and near pairs of a cell that come out as they are, or as many as it has points.
 CELL, LEAST, BLOCK, ROWS, FEW = 2048, 8, 4096, 1 << 16, 10
 #: Rounds in which only the nearest links are checked.
-ROUNDS = 3
+ROUNDS = 2
 #: How surely a pair of just the wanted similarity becomes a candidate, as regards cells and as regards the radius.
 RECALL, SIGMAS = 0.9, 2.33
 BITS, SEGMENTS = 128, 64
@@ -310,23 +310,27 @@ def _similar(docs: DataFrame, id_col: str, text_col: str, shingle: int, similari
     sets = df.join(chosen, "id", "left_semi").mapInArrow(hashed, "id long, h binary")
     sets = Written(sets, "sets").df
     # In a family each link that holds spares others, so a few rounds check each text's nearest link out of its component.
+    rows = edges.count()
     tested = good = edges.select("a", "b").limit(0)
-    label = connected_components(good)
+    label = None
     for k in range(ROUNDS + 1):
-        left = edges.join(tested, ["a", "b"], "left_anti")
-        for end in "ab":
-            left = left.join(label.select(F.col("node").alias(end), F.col("component").alias(f"c{end}")), end, "left")
-        left = Written(left.where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b", "bits"), "left").df if k else edges
-        if left.isEmpty():
-            break
+        left = edges
+        if k:
+            left = edges.join(tested, ["a", "b"], "left_anti")
+            for end in "ab":
+                left = left.join(label.select(F.col("node").alias(end), F.col("component").alias(f"c{end}")), end, "left")
+            left = left.where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b", "bits")
+            left = Written(few(left, rows), "left").df
+            if left.isEmpty():
+                break
         picked = left.select("a", "b") if k == ROUNDS else _nearest(left)
-        picked = Written(picked, "picked").df
-        good = Written(good.union(_verified(picked, sets, similarity)), "good").df
-        tested = Written(tested.union(picked), "tested").df
+        picked = Written(few(picked, rows), "picked").df
+        good = Written(few(good.union(_verified(picked, sets, similarity)), rows), "good").df
+        tested = Written(few(tested.union(picked), rows), "tested").df
         label = connected_components(good)
     # Crowded cells gave a forest, so where one of its links failed the ends' neighbours were perhaps never compared.
     group = connected_components(edges.select("a", "b")).toDF("root", "group").join(label.toDF("root", "label"), "root", "left")
-    group = Written(group.select("root", "group", F.coalesce("label", "root").alias("label")), "groups").df
+    group = Written(few(group.select("root", "group", F.coalesce("label", "root").alias("label")), rows), "groups").df
     broken = group.groupBy("group").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("group")
     loose = group.join(Written(broken, "broken").sized(), "group", "left_semi").join(texts, "root").select(F.col("root").alias("node"), *_FP, "label")
     missed = candidates(Written(loose, "loose").df, masks, radius, every=True).select("a", "b").distinct().join(edges, ["a", "b"], "left_anti")
