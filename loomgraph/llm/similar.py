@@ -254,6 +254,13 @@ def _nearest(edges: DataFrame) -> DataFrame:
     return best.select(F.least("a", "best.b").alias("x"), F.greatest("a", "best.b").alias("b")).distinct().toDF("a", "b")
 
 
+def _apart(edges: DataFrame, label: DataFrame) -> DataFrame:
+    """The edges whose ends lie in different components ca and cb; an end without one is its own."""
+    for end in "ab":
+        edges = edges.join(label.select(F.col("node").alias(end), F.col("component").alias(f"c{end}")), end, "left")
+    return edges.withColumns({f"c{end}": F.coalesce(f"c{end}", end) for end in "ab"}).where("ca <> cb")
+
+
 def _words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
@@ -316,10 +323,7 @@ def _similar(docs: DataFrame, id_col: str, text_col: str, shingle: int, similari
     for k in range(ROUNDS + 1):
         left = edges
         if k:
-            left = edges.join(tested, ["a", "b"], "left_anti")
-            for end in "ab":
-                left = left.join(label.select(F.col("node").alias(end), F.col("component").alias(f"c{end}")), end, "left")
-            left = left.where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b", "bits")
+            left = _apart(edges.join(tested, ["a", "b"], "left_anti"), label).select("a", "b", "bits")
             left = Written(few(left, rows), "left").df
             if left.isEmpty():
                 break
@@ -328,11 +332,13 @@ def _similar(docs: DataFrame, id_col: str, text_col: str, shingle: int, similari
         good = Written(few(good.union(_verified(picked, sets, similarity)), rows), "good").df
         tested = Written(few(tested.union(picked), rows), "tested").df
         label = connected_components(good)
-    # Crowded cells gave a forest, so where one of its links failed the ends' neighbours were perhaps never compared.
-    group = connected_components(edges.select("a", "b")).toDF("root", "group").join(label.toDF("root", "label"), "root", "left")
-    group = Written(few(group.select("root", "group", F.coalesce("label", "root").alias("label")), rows), "groups").df
-    broken = group.groupBy("group").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("group")
-    loose = group.join(Written(broken, "broken").sized(), "group", "left_semi").join(texts, "root").select(F.col("root").alias("node"), *_FP, "label")
+    # Crowded cells gave a forest, so where one of its links failed the ends' neighbours were perhaps never compared. In a
+    # group of candidates that is not one component, each component has a failed link to another.
+    label = label.toDF("root", "label")
+    failed = _apart(edges, label.toDF("node", "component")).select(F.explode(F.array("ca", "cb")).alias("label")).distinct()
+    failed = Written(few(failed, rows), "failed").sized()
+    ends = both.select(F.col("a").alias("root")).distinct().join(label, "root", "left").withColumn("label", F.coalesce("label", "root"))
+    loose = few(ends, rows).join(failed, "label", "left_semi").join(texts, "root").select(F.col("root").alias("node"), *_FP, "label")
     missed = candidates(Written(loose, "loose").df, masks, radius, every=True).select("a", "b").distinct().join(edges, ["a", "b"], "left_anti")
     label = connected_components(good.union(_verified(Written(missed, "missed").df, sets, similarity)))
     placed = texts.join(label.withColumnRenamed("node", "root"), "root", "left")
