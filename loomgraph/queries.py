@@ -482,3 +482,31 @@ def incremental_manifest(s, d):
         return df.groupBy(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("path")).agg(F.max(F.date_trunc("second", F.col("ts").cast("timestamp"))).alias("mtime")).withColumn("repo", F.lit("ev"))
 
     return incremental(manifest(e.where("user_id % 7 <> 0")), manifest(e.where("event_id % 3 <> 0"))).select("path", "state")
+
+
+# --- several repositories in one graph -----------------------------------------------------------------------------------
+def _two_repos(s, d):
+    """Every part in two repositories under the same id; the calls of the second are those of the first, turned round."""
+    g = bridge.parts(s, d)
+    f, e = g.nodes("Function"), g.edges("CALLS")
+    turned = e.select(F.lit("turned").alias("repo"), "rel_type", F.col("dst_id").alias("src_id"), F.col("src_id").alias("dst_id"), "call_type")
+    return g.__class__(s, {"Function": f.unionByName(f.withColumn("repo", F.lit("turned")))}, e.unionByName(turned))
+
+
+_TWO = f"""WITH {_DENSE}, two AS (SELECT 'parts' AS repo, a, b FROM calls UNION ALL SELECT 'turned', b, a FROM calls)"""
+
+
+@_query("where_some_two_repos", f"{_TWO} SELECT DISTINCT repo, a AS id FROM two JOIN part ON p_partkey::VARCHAR = b WHERE p_size = 1")
+def where_some_two_repos(s, d):
+    return where.find(_two_repos(s, d), "Function", {"calls_some": {"cyclomaticComplexity": 1}}).select("repo", "id")
+
+
+@_query("where_or_relation", f"{_TWO}, h AS (SELECT DISTINCT repo, a AS id FROM two JOIN part ON p_partkey::VARCHAR = b WHERE p_size = 1), n AS (SELECT r.repo, p_partkey::VARCHAR AS id, p_size FROM part, (SELECT 'parts' AS repo UNION ALL SELECT 'turned') r) SELECT n.repo, n.id FROM n LEFT JOIN h ON h.repo = n.repo AND h.id = n.id WHERE h.id IS NOT NULL OR p_size > 45")
+def where_or_relation(s, d):
+    return where.find(_two_repos(s, d), "Function", {"OR": [{"calls_some": {"cyclomaticComplexity": 1}}, {"cyclomaticComplexity_gt": 45}]}).select("repo", "id")
+
+
+@_query("delete_nodes_two_repos", f"{_TWO} SELECT repo, a AS src_id, b AS dst_id FROM two WHERE NOT (repo = 'parts' AND EXISTS (SELECT 1 FROM part WHERE p_size <= 5 AND p_partkey::VARCHAR IN (a, b)))")
+def delete_nodes_two_repos(s, d):
+    left, _ = mutate.delete_nodes(_two_repos(s, d), "Function", {"repository": {"name": "parts"}, "cyclomaticComplexity_lte": 5})
+    return left.edges().select("repo", "src_id", "dst_id")
