@@ -167,7 +167,7 @@ class WordTokenizer:
 
     These are what stands between blanks, without the marks at its end if the
     library, asked for each character once, tells them apart from the character
-    before. It lowers case, so words of ASCII letters are looked up in lower case.
+    before. It lowers case, so words of letters are looked up in lower case.
     A word of letters alone is mostly one piece of the pattern and ends in a token
     with the word-end suffix, which tells the words of a joint text apart.
     """
@@ -233,7 +233,8 @@ class WordTokenizer:
             core = w.rstrip(tails)
             if core != w and not (core and self.cuts_after(core[-1])):
                 core = w
-            key = core.lower() if core.isascii() and core.isalpha() else core
+            low = core.lower()  # not where case changes the length, or, as with Σ, depends on what follows
+            key = low if core.isalpha() and len(low) == len(core) and "Σ" not in core else core
             tail = w[len(core) :]
             split.append((w, key, tail))
             if key not in known:
