@@ -18,6 +18,7 @@ that the cutting of texts relies on.
 """
 from __future__ import annotations
 
+import itertools
 import struct
 import zlib
 
@@ -33,8 +34,10 @@ MAGIC = b"TOKRANS1"
 FILE, BLOCK, LANES, CHECKPOINT = 1 << 20, 1 << 15, 32, 256
 #: Lower bound of a coder's state; words are 32 bits.
 LOW = 1 << 31
-#: Entries of each of the tokenizer's tables at most; a full table is emptied.
-WORDS = 900_000
+#: Entries and characters of each of the tokenizer's tables at most; a full table is emptied.
+WORDS, CHARS = 500_000, 20_000_000
+#: Characters of the texts whose pieces are held at once; a longer text is cut at blanks.
+SLICE = 50_000
 
 
 def frequencies(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
@@ -162,14 +165,30 @@ NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
+class Table(dict):
+    """What parts of a text are encoded to, within WORDS entries and CHARS characters."""
+
+    chars = 0
+
+    def missing(self, used: set[str]) -> list[str]:
+        """Those to be learnt before all of used are held."""
+        new = [p for p in used if p not in self]
+        if len(self) + len(new) > WORDS or self.chars > CHARS:
+            self.clear()
+            self.chars, new = 0, list(used)
+        self.chars += sum(map(len, new))
+        return new
+
+
 class WordTokenizer:
     """The tokenizers library over parts of a text that its pattern never joins, each encoded once.
 
-    These are what stands between blanks, without the marks at its end if the
-    library, asked for each character once, tells them apart from the character
-    before. It lowers case, so words of letters are looked up in lower case.
-    A word of letters alone is mostly one piece of the pattern and ends in a token
-    with the word-end suffix, which tells the words of a joint text apart.
+    Texts of Latin-1 characters are in composed form already, so in lower case the
+    pattern's own pieces are the parts: an expression finds them whose classes of
+    characters the library, asked for each character, has told. In other texts so
+    are the ASCII words; the rest are cut at blanks, and before the marks at a
+    word's end if the library tells them apart from the character before.
+    A text that holds an added token is cut at blanks alone.
     """
 
     TAIL = ".,!?;:%$#*&|"
@@ -177,6 +196,7 @@ class WordTokenizer:
     def __init__(self, path: str):
         import json
         import os
+        import re
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -184,31 +204,47 @@ class WordTokenizer:
         self.lib = Tokenizer.from_file(path)
         spec = json.loads(self.lib.to_str())
         split = (spec["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
-        whole = all(not (t["lstrip"] or t["rstrip"] or set(t["content"]) <= set(self.TAIL) or any(c.isspace() for c in t["content"])) for t in spec["added_tokens"])
-        ends_marked = any(t["content"][-1:] in self.TAIL for t in spec["added_tokens"])
+        self.added = [t["content"] for t in spec["added_tokens"]]
+        whole = all(not (t["lstrip"] or t["rstrip"] or t["normalized"] or set(t["content"]) <= set(self.TAIL) or any(c.isspace() for c in t["content"])) for t in spec["added_tokens"])
+        ends_marked = any(t[-1:] in self.TAIL for t in self.added)
         if (spec["normalizer"] or {}).get("normalizers") != NORMALIZERS or split[0].get("pattern") != {"Regex": PATTERN} or not whole or ends_marked:
             raise ValueError(f"{path}: not the normaliser, pattern or added tokens that words are cut by")
         suffix = spec["model"].get("end_of_word_suffix") or "\0"
         vocab = self.lib.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(self.lib.get_vocab().values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
-        self.words: dict[str, bytes] = {"": b""}
-        self.parts: dict[str, bytes] = {"": b""}
+        kinds: dict[str, str] = {"blank": "", "letter": "", "number": "", "mark": ""}
+        for c in map(chr, range(256)):
+            kinds[self.kind(c)] += re.escape(c.lower())
+        letter, number, others = f"[{kinds['letter']}]+", f"[{kinds['number']}]", f"[^{kinds['blank']}{kinds['letter']}{kinds['number']}]+"
+        self.find = re.compile(f"{PATTERN.split('|[', 1)[0]}|{letter}|{number}|{others}").findall
+        self.words, self.parts = Table(), Table()
         self.apart: dict[str, bool] = {}
 
+    def pieces(self, text: str) -> list[tuple[str, tuple[int, int]]]:
+        return self.lib.pre_tokenizer.pre_tokenize_str(self.lib.normalizer.normalize_str(text))
+
+    def kind(self, char: str) -> str:
+        if self.lib.normalizer.normalize_str(char) == " ":
+            return "blank"
+        if len(self.pieces("a" + char)) == 1:
+            return "letter"
+        return "number" if len(self.pieces(char + char)) == 2 else "mark"
+
     def cuts_after(self, char: str) -> bool:
         """Whether marks that follow the character are a piece of their own."""
         if char not in self.apart:
-            pieces = self.lib.pre_tokenizer.pre_tokenize_str(self.lib.normalizer.normalize_str(char + "."))
+            pieces = self.pieces(char + ".")
             self.apart[char] = len(pieces) > 1 and pieces[-1][0] == "."
         return self.apart[char]
 
     def look_up(self, parts: list[str]) -> None:
+        """Encode parts; letters alone are one piece, mostly, whose last token has the word-end suffix, so many go in one text."""
         alone = [p for p in parts if not p.isalpha()]
         rest = [p for p in parts if p.isalpha()]
-        for at in range(0, len(rest), 400):
-            some = rest[at : at + 400]
-            ids = np.array(self.lib.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+        joint = [rest[at : at + 400] for at in range(0, len(rest), 400)]
+        for some, e in zip(joint, self.lib.encode_batch_fast([" ".join(some) for some in joint], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
             cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
             if len(cuts) != len(some):
                 alone += some
@@ -221,39 +257,68 @@ class WordTokenizer:
             self.parts[p] = np.array(e.ids, "<u4").tobytes()
 
     def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.words]
-        if len(self.words) + len(new) > WORDS:
-            self.words = {"": b""}
-            new = list(words)
-        if len(self.parts) + len(new) > WORDS:
-            self.parts = {"": b""}
-        known, tails, done, split = self.parts, self.TAIL, self.words, []
-        need = set()
-        for w in new:
-            core = w.rstrip(tails)
+        split, need = [], set()
+        for w in self.words.missing(words):
+            core = w.rstrip(self.TAIL)
             if core != w and not (core and self.cuts_after(core[-1])):
                 core = w
-            low = core.lower()  # not where case changes the length, or, as with Σ, depends on what follows
-            key = low if core.isalpha() and len(low) == len(core) and "Σ" not in core else core
-            tail = w[len(core) :]
-            split.append((w, key, tail))
-            if key not in known:
-                need.add(key)
-            if tail and tail not in known:
-                need.add(tail)
-        self.look_up(list(need))
-        for w, key, tail in split:
-            done[w] = known[key] + known[tail] if tail else known[key]
+            split.append((w, core, w[len(core) :]))
+            need.update(split[-1][1:])
+        self.look_up(self.parts.missing(need))
+        for w, core, tail in split:
+            self.words[w] = self.parts[core] + self.parts[tail]
+
+    def cut(self, text: str) -> list[tuple[bool, list[str]]]:
+        """(whether they are words, parts) in order; other parts are pieces."""
+        if any(t in text for t in self.added):
+            return [(True, text.replace("\n", " ").split(" "))]
+        try:
+            text.encode("latin-1")
+            return [(False, self.find(text.lower()))]
+        except UnicodeEncodeError:
+            runs = itertools.groupby(text.replace("\n", " ").split(" "), str.isascii)
+            return [(False, self.find(" ".join(run).lower())) if ascii else (True, list(run)) for ascii, run in runs]
+
+    def slices(self, texts: list[str]):
+        """(number of the text, part of it that ends before a blank), up to SLICE characters or one run without blanks."""
+        for i, t in enumerate(texts):
+            at = 0
+            while len(t) - at > SLICE:
+                end = t.rfind(" ", at + 1, at + SLICE)
+                end = end if end > 0 else t.find(" ", at + SLICE)
+                if end < 0:
+                    break
+                yield i, t[at:end]
+                at = end
+            yield i, t[at:] if at else t
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        out = []
-        for at in range(0, len(texts), 200):
-            split = [t.replace("\n", " ").split(" ") for t in texts[at : at + 200]]
-            self.learn(set().union(*split))
-            words = self.words.__getitem__
-            out += [b"".join(map(words, s)) for s in split]
-        return out
+        out: list[list[bytes]] = [[] for _ in texts]
+        held: list[tuple[int, list[tuple[bool, list[str]]]]] = []
+        size = 0
+
+        def flush():
+            self.learn(set().union(*(p for _, cut in held for words, p in cut if words)))
+            # After the words, as their parts may empty the table.
+            found = [[None if words else list(map(self.parts.get, p)) for words, p in cut] for _, cut in held]
+            new = {p for (_, cut), got in zip(held, found, strict=True) for (_, parts), ids in zip(cut, got, strict=True) if ids and None in ids for p, e in zip(parts, ids, strict=True) if e is None}
+            self.look_up(self.parts.missing(new))
+            word, piece = self.words.__getitem__, self.parts.__getitem__
+            for (i, cut), got in zip(held, found, strict=True):
+                for (words, parts), ids in zip(cut, got, strict=True):
+                    if ids and None in ids:
+                        ids = [piece(p) if e is None else e for p, e in zip(parts, ids, strict=True)]
+                    out[i].append(b"".join(map(word, parts) if words else ids))
+
+        for i, t in self.slices(texts):
+            if held and size + len(t) > SLICE:
+                flush()
+                held, size = [], 0
+            held.append((i, self.cut(t)))
+            size += len(t)
+        flush()
+        return [b"".join(o) for o in out]
 
     def encode(self, text: str) -> bytes:
         return self.encode_all([text])[0]
@@ -286,7 +351,7 @@ def write_tokens(docs: DataFrame, path: str, end_id: int = 2, id_col: str = "doc
                 [*(pa.array(c, pa.int64()) for c in row), pa.array([data], pa.binary())], names=["part", "seq", "start", "n_tokens", "n_docs", "data"]
             )
 
-        for b in batches:
+        for b in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
             for i, e in zip(b.column(0).to_pylist(), tok.encode_all(strings(b.column(1))), strict=True):
                 e += end
                 ids.append(i)

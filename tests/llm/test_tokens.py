@@ -99,6 +99,19 @@ def test_every_character_before_every_mark():
         assert own.encode_all(some) == want
 
 
+@pytest.mark.parametrize("held", [500_000, 3])
+def test_joined_latin_and_other_texts(monkeypatch, held):
+    monkeypatch.setattr(rans, "WORDS", held)
+    monkeypatch.setattr(rans, "SLICE", 50)
+    lib, own, rnd = Tokenizer.from_file(WORDS), rans.WordTokenizer(WORDS), random.Random(9)
+    latin, odd = "".join(map(chr, range(256))) * 2 + " 'aést" * 60, "İΑΣ\u0301\u0327Å é가'’—² \n\u3000<|endoftext|> "
+    texts = ["".join(rnd.choice(latin) for _ in range(rnd.randint(0, 90))) for _ in range(2000)]
+    texts += ["".join(rnd.choice(latin[-200:] + odd) for _ in range(rnd.randint(0, 90))) for _ in range(2000)]
+    texts += ["we'll it'S <|endoftext|>'s x", "a" * 200 + " b'" + "é" * 100 + "\u3000 x"]
+    want = [np.array(e.ids, "<u4").tobytes() for e in lib.encode_batch(texts, add_special_tokens=False)]
+    assert own.encode_all(texts) == want and own.encode_all(texts[::-1]) == want[::-1]
+
+
 def test_another_tokenizer_is_refused(tmp_path):
     spec = json.loads(open(WORDS, encoding="utf-8").read())
     for change in ({"normalizer": None}, {"pre_tokenizer": {"type": "Whitespace"}}):
