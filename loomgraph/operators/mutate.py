@@ -56,19 +56,43 @@ def delete_nodes(graph: CodeGraph, kind: str, where: dict) -> tuple[CodeGraph, D
 _EDGE = ["repo", "rel_type", "src_id", "dst_id"]
 
 
+#: Ids in a block of one side of a product; a cell of two blocks has about its square of pairs.
+_BLOCK = 1024
+
+
+def _pairs(a: DataFrame, b: DataFrame, have: DataFrame) -> DataFrame:
+    """All pairs (repo, x, y) of a(repo, x) and b(repo, y) of one repository that are not in have(repo, x, y), once each.
+
+    Both sides are dealt by hash into blocks. A cell of two blocks gets its x one a row, each with the y it has, and all
+    its y in one row: only these are shuffled, by cell; the pairs come out of the last step and are nowhere dealt again.
+    """
+    a, b = (df.select("repo", F.col(c).cast("string").alias(c)).distinct() for df, c in ((a, "x"), (b, "y")))
+    blocks = F.ceil(F.count(F.lit(1)) / _BLOCK)
+    grid = F.broadcast(a.groupBy("repo").agg(blocks.alias("rows")).join(b.groupBy("repo").agg(blocks.alias("cols")), "repo"))  # two numbers a repository
+    i, j = F.pmod(F.xxhash64("x"), "rows").alias("i"), F.pmod(F.xxhash64("y"), "cols").alias("j")
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    left = a.join(grid, "repo").select("repo", "x", i, each("cols").alias("j"))
+    had = have.join(b, ["repo", "y"], "left_semi").join(grid, "repo").groupBy("repo", "x", j).agg(F.collect_set("y").alias("had"))
+    ys = F.concat(F.collect_list("y"), F.when(F.bool_or(F.col("y").isNull()), F.array(F.lit(None).cast("string"))).otherwise(F.array().cast("array<string>")))
+    right = b.join(grid, "repo").groupBy("repo", "rows", j).agg(ys.alias("ys")).select("repo", each("rows").alias("i"), "j", "ys")
+    n = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # said outright, as the optimiser would merge partitions by their bytes before the pairs are made
+    cell = ["repo", "i", "j"]
+    cells = left.join(had, ["repo", "x", "j"], "left").repartition(n, *cell).join(right.repartition(n, *cell).hint("merge"), cell)
+    return cells.select("repo", "x", F.explode(F.when(F.col("had").isNull(), F.col("ys")).otherwise(F.array_except("ys", "had"))).alias("y"))
+
+
 def _link(graph: CodeGraph, rel: Relation, a: DataFrame, b: DataFrame, call_type: str | None = None) -> CodeGraph:
     """Adds the edges between all of a(repo, x) and all of b(repo, y) of one repository that the graph lacks."""
     src, dst = ("x", "y") if rel.outgoing else ("y", "x")
-    new = a.join(b, "repo").select("repo", F.lit(rel.rel_type).alias("rel_type"), F.col(src).alias("src_id"), F.col(dst).alias("dst_id"), F.lit(call_type).cast("string").alias("call_type"))
-    have = graph.edges(rel.rel_type).select(*_EDGE)
-    return graph.with_edges(graph.edges().unionByName(new.distinct().join(have, _EDGE, "left_anti")))
+    have = graph.edges(rel.rel_type).select("repo", F.col("src_id").alias(src), F.col("dst_id").alias(dst))
+    new = _pairs(a, b, have).select("repo", F.lit(rel.rel_type).alias("rel_type"), F.col(src).alias("src_id"), F.col(dst).alias("dst_id"), F.lit(call_type).cast("string").alias("call_type"))
+    return graph.with_edges(graph.edges().unionByName(new))
 
 
 def connect(graph: CodeGraph, kind: str, field: str, on_from: dict, on_to: dict, call_type: str | None = None) -> CodeGraph:
     """Adds the edges of a field between all nodes of two filters that lack them.
 
-    Both sides are filtered and the product is what the operation asks for; the
-    smaller side is left to the optimiser to broadcast.
+    Both sides are filtered; the product is what the operation asks for.
     """
     rel = FIELDS[kind][field]
     a = find(graph, kind, on_from).select("repo", F.col("id").alias("x"))

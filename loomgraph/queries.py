@@ -365,9 +365,10 @@ def delete_nodes(s, d):
 
 @_query("connect_edges", f"WITH {_SPARSE}, {_F} SELECT a.id AS src_id, b.id AS dst_id FROM f a, f b WHERE a.p_size = 50 AND b.p_size = 49 UNION SELECT a, b FROM calls JOIN f ON f.id = a WHERE p_size = 50")
 def connect_edges(s, d):
-    g = mutate.connect(bridge.parts(s, d, dense=False), "Function", "calls", {"cyclomaticComplexity": 50}, {"cyclomaticComplexity": 49}, "direct")
-    own = g.nodes("Function").where("cyclomaticComplexity = 50").select(F.col("id").alias("src_id"))
-    return g.edges("CALLS").join(own, "src_id", "left_semi").select("src_id", "dst_id")
+    g = bridge.parts(s, d, dense=False)
+    own = g.nodes("Function").where("cyclomaticComplexity = 50").select("repo", F.col("id").alias("src_id"))
+    g = g.with_edges(g.edges("CALLS").join(own, ["repo", "src_id"], "left_semi"))  # before the product, all of whose edges start there
+    return mutate.connect(g, "Function", "calls", {"cyclomaticComplexity": 50}, {"cyclomaticComplexity": 49}, "direct").edges("CALLS").select("src_id", "dst_id")
 
 
 @_query("disconnect_edges", f"WITH {_SPARSE}, {_F} SELECT a AS src_id, b AS dst_id FROM calls JOIN f ON f.id = a WHERE p_size <= 25")
